@@ -127,8 +127,7 @@ def _mapper(buckets: int, window: int, gram: int):
             held.clear(), of.clear(), marks.clear()
 
         for pdf in batches:
-            ids, hashes, texts = pdf["doc_id"], pdf["h"].tolist(), pdf["text"]
-            missing, ids = ids.isna().tolist(), ids.fillna(0).astype("int64").tolist()
+            missing, ids, hashes, texts = (pdf[c].tolist() for c in ("missing", "doc_id", "h", "text"))
             lines, n_words, rows, length = [], [], [], 0
             for r, text in enumerate([*texts, None]):
                 words = words_of(text)
@@ -140,7 +139,7 @@ def _mapper(buckets: int, window: int, gram: int):
                     packed = b"\n".join(lines) + b"\n"
                     for d, w, n, a, b, mini in super_kmers(packed, np.array(n_words), window, gram):
                         t, row = packed[a:b], rows[d]
-                        k = (int(missing[row]), ids[row], hashes[row], w)
+                        k = (missing[row], ids[row], hashes[row], w)
                         old = held.get(t)
                         if old is None:
                             held[t], of[t] = k, mini
@@ -213,7 +212,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
 
     missing is 1 for a null doc_id; h is the xxhash64 of the text, which orders documents with equal ids.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    d = docs.select(F.isnull("doc_id").cast("long").alias("missing"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(48, size // bucket_bytes)
     sent = d.mapInPandas(_mapper(buckets, window, gram), "bucket long, block binary")

@@ -101,7 +101,11 @@ class Index:
         s = np.concatenate(sums)
         if len(s) > 1:
             s = s[:-1] + s[1:]
-        return [(int(k), int(b)) for k, b in np.argwhere(s >= threshold - 1e-9)]
+        out = []
+        for k in np.flatnonzero((s >= threshold - 1e-9).any(axis=1)).tolist():  # again with each word once
+            once = self.maxima[np.unique(ids[k * step:(k + 2) * step])].sum(axis=0)
+            out += [(k, b) for b in np.flatnonzero(once >= threshold - 1e-9).tolist()]
+        return out
 
     def search(self, words: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, tuple[float, float]]:
         """Verified items of a text: item -> (best BM25 score, best overlap)."""

@@ -165,7 +165,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     n = near_duplicates(docs.select("doc_id", "text"))
     best = n.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
     best = materialise(best, "kept")
-    kept = docs.where("doc_id IS NOT NULL").join(best.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.where("doc_id IS NOT NULL").join(best.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if best.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL"))

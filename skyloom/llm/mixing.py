@@ -119,7 +119,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     clash = [c for c in docs.columns if c in picks.columns]
     left = docs.drop(*clash).withColumn("__n", n_tokens(F.col("text")))
     on = left["doc_id"].eqNullSafe(picks["p_id"]) & left["source"].cast("string").eqNullSafe(picks["p_source"]) & (left["__n"] == picks["p_n"])
-    return left.join(picks, on).drop("__n", *key)
+    return left.join(picks.hint("merge"), on).drop("__n", *key)
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 WINDOW, GRAM = 20, 4
 #: Text bytes per bucket; packed bytes that a map task holds before it sends blocks; windows sorted at a time.
-BUCKET_BYTES, FLUSH_BYTES, SORT_WINDOWS = 8 << 20, 48 << 20, 3_000_000
+BUCKET_BYTES, FLUSH_BYTES, SORT_WINDOWS = 6 << 20, 48 << 20, 2_000_000
 _BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -98,14 +98,19 @@ def super_kmers(packed: bytes, n_words: np.ndarray, window: int, gram: int) -> I
 
 
 def _block(entries: list[tuple[bytes, tuple]]) -> bytes:
-    head = np.array([k for _, k in entries], dtype=np.int64)  # null flag, doc_id, hash, first word
-    return struct.pack("<I", len(entries)) + zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"\n".join(t for t, _ in entries) + b"\n")
+    """Compressed heads (null flag, doc_id, hash, first word; ids as differences, all as byte planes) and texts."""
+    head = np.array([k for _, k in entries], dtype=np.int64).T.copy()
+    head[1, 1:] -= head[1, :-1].copy()
+    planes = head.view(np.uint8).reshape(4, len(entries), 8).transpose(0, 2, 1).tobytes()
+    return struct.pack("<I", len(entries)) + zstandard.ZstdCompressor(level=5).compress(planes + b"\n".join(t for t, _ in entries) + b"\n")
 
 
 def _unblock(block: bytes) -> tuple[np.ndarray, bytes]:
     n = struct.unpack("<I", block[:4])[0]
     raw = zstandard.ZstdDecompressor().decompress(block[4:])
-    return np.frombuffer(raw, np.int64, n * 4).reshape(n, 4), raw[n * 32:]
+    head = np.frombuffer(raw, np.uint8, n * 32).reshape(4, 8, n).transpose(0, 2, 1).copy().view(np.int64).reshape(4, n)
+    head[1] = np.cumsum(head[1])
+    return head.T, raw[n * 32:]
 
 
 def _mapper(buckets: int, window: int, gram: int):
@@ -135,7 +140,7 @@ def _mapper(buckets: int, window: int, gram: int):
                     lines.append(b" ".join(words))
                     n_words.append(len(words)), rows.append(r)
                     length += len(lines[-1])
-                if lines and (length > 4 << 20 or r == len(texts)):
+                if lines and (length > 1 << 20 or r == len(texts)):
                     packed = b"\n".join(lines) + b"\n"
                     for d, w, n, a, b, mini in super_kmers(packed, np.array(n_words), window, gram):
                         t, row = packed[a:b], rows[d]
@@ -170,41 +175,50 @@ def _runs(keys: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
 def repeated_windows(blocks: list[bytes], window: int) -> np.ndarray:
     """Runs of windows of a bucket whose words also start earlier."""
     parts = [_unblock(b) for b in blocks]
-    total = sum(t.count(b" ") for _, t in parts)
-    rounds = max(1, total // SORT_WINDOWS + 1)
-    found = []
+    total = sum(t.count(b" ") - (window - 2) * len(head) for head, t in parts)
+    rounds = total // SORT_WINDOWS + 1
+    late_keys = []
     for turn in range(rounds):  # windows by hash, so that equal ones meet in one round
-        hashes, where, heads, lows, highs = [], [], [], [], []
+        hashes, where = [], []  # where: part, line, word of the line, start byte, end byte
         for p, (head, text) in enumerate(parts):
             data = np.frombuffer(text, np.uint8)
             starts, ends = _borders(data)
-            line = np.concatenate(([0], np.cumsum(data[ends] == 10)[:-1]))
-            inside = line[:len(line) - window + 1] == line[window - 1:]
-            i = np.flatnonzero(inside)
+            closes = np.flatnonzero(data[ends] == 10)
+            line = np.repeat(np.arange(len(closes), dtype=np.int32), np.diff(closes, prepend=-1))
+            first = np.concatenate(([0], closes[:-1] + 1))
+            i = np.flatnonzero(line[:len(line) - window + 1] == line[window - 1:])
             h = _mixed(Slices(data).of(starts[i], ends[i + window - 1]))
-            pick = np.flatnonzero(h % np.uint64(rounds) == np.uint64(turn))
-            first = np.concatenate(([0], np.flatnonzero(data[ends] == 10)[:-1] + 1))
-            i, ln = i[pick], line[i[pick]]
-            hashes.append(h[pick]), where.append(np.full(len(i), p)), lows.append(starts[i]), highs.append(ends[i + window - 1])
-            heads.append(np.column_stack((head[ln, :3], head[ln, 3] + i - first[ln])))
-        h, part, key, lo, hi = (np.concatenate(x) for x in (hashes, where, heads, lows, highs))
+            if rounds > 1:
+                pick = h % np.uint64(rounds) == np.uint64(turn)
+                i, h = i[pick], h[pick]
+            hashes.append(h)
+            where.append(np.stack((np.full(len(i), p), line[i], i - first[line[i]], starts[i], ends[i + window - 1])).astype(np.int32))
+        h, at = np.concatenate(hashes), np.concatenate(where, axis=1)
+        order = np.argsort(h, kind="stable")
+        twin = h[order][1:] == h[order][:-1]
+        order = order[np.concatenate((twin, [False])) | np.concatenate(([False], twin))]
+        if not len(order):
+            continue
+        h, at = h[order], at[:, order]
+        bases = np.concatenate(([0], np.cumsum([len(head) for head, _ in parts])[:-1]))
+        key = np.concatenate([head for head, _ in parts])[bases[at[0]] + at[1]]
+        key[:, 3] += at[2]
         order = np.lexsort((key[:, 3], key[:, 2], key[:, 1], key[:, 0], h))
-        same = np.flatnonzero(h[order][1:] == h[order][:-1])
-        late: list[int] = []
-        i = 0
-        groups = np.split(same, np.flatnonzero(np.diff(same) != 1) + 1) if len(same) else []
-        for g in groups:  # members in order of place; equal hashes are checked as text
-            seen: dict[bytes, tuple] = {}
-            for i in order[g[0]:g[-1] + 2].tolist():
-                t = parts[part[i]][1][lo[i]:hi[i]]
-                k = tuple(key[i])
-                if seen.setdefault(t, k) != k:
-                    late.append(i)
-        if late:
-            late_key = key[late]
-            late_key = late_key[np.lexsort((late_key[:, 3], late_key[:, 2], late_key[:, 1], late_key[:, 0]))]
-            found.append(_runs(late_key, late_key[:, 3], window))
-    return np.concatenate(found) if found else np.empty((0, 5), np.int64)
+        h, at, key = h[order], at[:, order], key[order]
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        late, seen = [], {}
+        keys = list(map(tuple, key.tolist()))
+        for i, (p, lo, hi, fresh) in enumerate(zip(at[0].tolist(), at[3].tolist(), at[4].tolist(), new.tolist())):
+            if fresh:
+                seen = {}
+            if seen.setdefault(parts[p][1][lo:hi], keys[i]) != keys[i]:  # in order of place; equal hashes are told apart as text
+                late.append(i)
+        late_keys.append(key[late])
+    late_key = np.concatenate(late_keys) if late_keys else np.empty((0, 4), np.int64)
+    if not len(late_key):
+        return np.empty((0, 5), np.int64)
+    late_key = late_key[np.lexsort((late_key[:, 3], late_key[:, 2], late_key[:, 1], late_key[:, 0]))]
+    return _runs(late_key, late_key[:, 3], window)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -2,6 +2,367 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import graph, grid, routes, spatial
+from .tables import POINTS, ROUTE_ORDER, SQL_ORDER, points, table
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "cost_layers"
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+    return put
+
+
+def _nodes(spark, sf):
+    """Customers as model nodes, suppliers as facilities, on plane coordinates made from their keys and balances."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 97 * 10.0).alias("x"), (F.col("c_nationkey") * 40.0).alias("y"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site"), (F.col("s_suppkey") % 89 * 11.0).alias("x"), (F.col("s_nationkey") * 40.0).alias("y"), F.col("s_acctbal").alias("bal"), F.col("s_nationkey").alias("nation"))
+    return c, s
+
+
+_NODES = """n AS (SELECT c_custkey AS id, c_custkey % 97 * 10.0::DOUBLE AS x, c_nationkey * 40.0::DOUBLE AS y, c_acctbal AS bal, c_mktsegment AS seg FROM customer),
+s AS (SELECT s_suppkey AS site, s_suppkey % 89 * 11.0::DOUBLE AS x, s_nationkey * 40.0::DOUBLE AS y, s_acctbal AS bal, s_nationkey AS nation FROM supplier)"""
+
+
+@query(f"""WITH {_NODES}, p AS (SELECT quantile_cont(bal, 0.01) AS lo, quantile_cont(bal, 0.99) AS hi FROM n),
+d AS (SELECT n.id, min(sqrt((n.x-s.x)*(n.x-s.x)+(n.y-s.y)*(n.y-s.y))) FILTER (s.nation % 3 = 0) AS ra, min(sqrt((n.x-s.x)*(n.x-s.x)+(n.y-s.y)*(n.y-s.y))) FILTER (s.nation % 3 = 1) AS db,
+  min(sqrt((n.x-s.x)*(n.x-s.x)+(n.y-s.y)*(n.y-s.y))) FILTER (s.nation % 3 = 2) AS dk FROM n, s GROUP BY n.id),
+l AS (SELECT n.id, n.seg = 'MACHINERY' OR ra <= 5 AS hard, least(1, greatest(0, (bal-lo)/(hi-lo))) AS density, CASE WHEN ra <= 20 THEN 1 ELSE exp(-pow((ra-20)/60,2)) END AS ra_risk,
+  1 - (0.6*exp(-0.5*pow(db/80,2)) + 0.4*exp(-0.5*pow(dk/80,2))) AS emergency, 0.05 + (n.id % 7) * 0.01 AS slowness, ra, db, dk FROM n JOIN d USING (id), p),
+r AS (SELECT *, CASE WHEN hard THEN 1 ELSE least(1, greatest(0, density*0.5 + (1-density*0.5)*(0.5*ra_risk+0.5*emergency))) END AS risk FROM l)
+SELECT id, round(density, 6) AS density_norm, round(ra_risk, 6) AS ra_risk, hard AS is_hard_nofly, round(risk, 6) AS risk_total, round(CASE WHEN hard THEN 10 ELSE least(9.999, 1.0*slowness + 2.0*risk) END, 6) AS cost_per_m,
+  round(CASE WHEN hard THEN 0 ELSE 1/slowness END, 6) AS velocity_mps, round(ra, 6) AS distance_to_ra_m, round(db, 6) AS distance_to_db_m, round(dk, 6) AS distance_to_dk_m FROM r""")
+def cost_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, s = _nodes(spark, sf_dir)
+    d = C.robust_norm(n, "bal", "density")
+    for i, name in enumerate(("ra", "db", "dk")):
+        near = spatial.nearest_of_few(n, s.where(F.col("nation") % 3 == i), reach=50.0)
+        d = d.join(near.select("id", F.col("dist").alias(name)), "id")
+    hard = (F.col("seg") == "MACHINERY") | (F.col("ra") <= 5)
+    d = d.withColumns({"hard": hard, "ra_risk": C.buffered_decay(F.col("ra"), 20.0, 60.0), "emergency": 1 - (0.6 * C.decay(F.col("db"), 80.0, "gauss") + 0.4 * C.decay(F.col("dk"), 80.0, "gauss")), "slowness": 0.05 + F.col("id") % 7 * 0.01})
+    d = d.withColumn("risk", F.when(F.col("hard"), 1.0).otherwise(C.noisy_or(F.col("density") * 0.5, 0.5 * F.col("ra_risk") + 0.5 * F.col("emergency"))))
+    r = lambda c: F.round(c, 6)
+    return d.select("id", r("density").alias("density_norm"), r("ra_risk").alias("ra_risk"), F.col("hard").alias("is_hard_nofly"), r("risk").alias("risk_total"),
+                    r(F.when(F.col("hard"), 10.0).otherwise(F.least(F.lit(9.999), F.col("slowness") + 2.0 * F.col("risk")))).alias("cost_per_m"), r(C.velocity(F.col("slowness"), F.col("hard"))).alias("velocity_mps"),
+                    r("ra").alias("distance_to_ra_m"), r("db").alias("distance_to_db_m"), r("dk").alias("distance_to_dk_m"))
+
+
+def _routes(spark, sf):
+    return table(spark, sf, "lineitem")
+
+
+@query("""SELECT l_suppkey AS node, count(DISTINCT l_orderkey) AS hit_count, count(*) AS visit_count, string_agg(DISTINCT l_returnflag, ';' ORDER BY l_returnflag) AS directions,
+string_agg(DISTINCT l_linestatus, ';' ORDER BY l_linestatus) AS types, round(avg(l_quantity), 6) AS mean_quantity FROM lineitem GROUP BY l_suppkey""")
+def node_hits(spark, sf_dir):
+    r = _routes(spark, sf_dir).withColumnRenamed("l_suppkey", "node")
+    h = routes.node_hits(r, "l_orderkey", "node", {"l_returnflag": "directions", "l_linestatus": "types"})
+    return h.join(r.groupBy("node").agg(F.round(F.avg("l_quantity"), 6).alias("mean_quantity")), "node")
+
+
+_EDGES = f"""e AS (SELECT * FROM (SELECT l_orderkey, l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY {SQL_ORDER}) AS b FROM lineitem) WHERE b IS NOT NULL AND a <> b)"""
+
+
+def _edges(spark, sf):
+    return routes.edges(_routes(spark, sf), "l_orderkey", ROUTE_ORDER, "l_suppkey")
+
+
+@query(f"WITH {_EDGES} SELECT least(a, b) AS u, greatest(a, b) AS v, count(DISTINCT l_orderkey) AS hit_count, count(*) AS visit_count FROM e GROUP BY 1, 2")
+def edge_hits(spark, sf_dir):
+    return routes.edge_hits(_edges(spark, sf_dir), "l_orderkey")
+
+
+@query(f"WITH {_EDGES} SELECT node, count(DISTINCT other) AS degree FROM (SELECT a AS node, b AS other FROM e UNION ALL SELECT b, a FROM e) GROUP BY node")
+def graph_degree(spark, sf_dir):
+    return routes.degree(_edges(spark, sf_dir))
+
+
+@query(f"""WITH o AS (SELECT *, row_number() OVER w AS k, lag(l_partkey) OVER w AS px, lag(l_quantity) OVER w AS py, lag(l_discount) OVER w AS ps FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {SQL_ORDER})),
+d AS (SELECT *, coalesce(sqrt(pow(l_partkey - px, 2) + pow(l_quantity - py, 2)), 0) AS seg FROM o), t AS (SELECT *, seg * (l_discount + coalesce(ps, l_discount)) / 2 AS secs FROM d)
+SELECT l_orderkey, k - 1 AS path_step, l_suppkey, round(seg, 5) AS segment_m, round(sum(seg) OVER w, 5) AS distance_m, round(sum(secs) OVER w, 5) AS time_s FROM t WINDOW w AS (PARTITION BY l_orderkey ORDER BY k)""")
+def path_steps(spark, sf_dir):
+    s = routes.steps(_routes(spark, sf_dir), "l_orderkey", ROUTE_ORDER, F.col("l_partkey").cast("double"), F.col("l_quantity"), F.col("l_discount"))
+    r = lambda c: F.round(c, 5).alias(c)
+    return s.select("l_orderkey", F.col("path_step").cast("long"), "l_suppkey", r("segment_m"), r("distance_m"), r("time_s"))
+
+
+@query("""WITH f AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR event_type = 'signup' OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 7200000000 THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM f)
+SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS n_rows, round(sum(value), 4) AS total FROM i GROUP BY 1, 2""")
+def gap_islands(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    starts = (F.col("event_type") == "signup") | (F.col("us") - F.lag("us").over(w) > 7_200_000_000)
+    return routes.islands(e, "user_id", ["ts", "event_id"], starts).groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.count("*").alias("n_rows"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"""WITH o AS (SELECT l_orderkey, row_number() OVER w AS k, degrees(atan2(l_quantity - lag(l_quantity) OVER w, CAST(l_partkey - lag(l_partkey) OVER w AS DOUBLE))) AS a FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {SQL_ORDER})),
+t AS (SELECT l_orderkey, abs(a - lag(a) OVER (PARTITION BY l_orderkey ORDER BY k)) % 360 AS r FROM o), u AS (SELECT l_orderkey, CASE WHEN r > 180 THEN 360 - r ELSE r END AS turn FROM t)
+SELECT l_orderkey, count(*) FILTER (turn > 1) AS turn_count, round(coalesce(sum(turn), 0), 5) AS turn_degrees FROM u GROUP BY 1""")
+def path_turns(spark, sf_dir):
+    t = routes.turns(_routes(spark, sf_dir), "l_orderkey", ROUTE_ORDER, F.col("l_partkey").cast("double"), F.col("l_quantity"))
+    return t.withColumn("turn_degrees", F.round("turn_degrees", 5))
+
+
+@query("""WITH locked AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)
+SELECT l_orderkey, count(k.l_suppkey) AS shared, count(*) AS total, round(100.0 * count(k.l_suppkey) / count(*), 6) AS percent FROM p LEFT JOIN locked k USING (l_suppkey) GROUP BY 1""")
+def seed_overlap(spark, sf_dir):
+    r = _routes(spark, sf_dir)
+    o = routes.overlap_share(r, r.where("l_returnflag = 'R' AND l_quantity > 45"), "l_orderkey", "l_suppkey")
+    return o.withColumn("percent", F.round("percent", 6))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) AS r FROM lineitem) WHERE r = 1""")
+def keep_last(spark, sf_dir):
+    return routes.keep_last(_routes(spark, sf_dir), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query(f"WITH {POINTS} SELECT a.id AS a, b.id AS b, round(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)), 6) AS dist FROM points a JOIN points b ON a.id < b.id AND sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 12")
+def range_self_join(spark, sf_dir):
+    return spatial.within_pairs(points(spark, sf_dir), 12.0).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"""WITH {POINTS}, c AS (SELECT a.id, b.id AS neighbour, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dist FROM points a JOIN points b ON a.id <> b.id AND sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 30),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, neighbour) AS rank FROM c) SELECT id, neighbour, round(dist, 6) AS dist, rank FROM k WHERE rank <= 8""")
+def radius_top_k(spark, sf_dir):
+    k = spatial.knn(points(spark, sf_dir), 8, 30.0)
+    return k.withColumns({"dist": F.round("dist", 6), "rank": F.col("rank").cast("long")})
+
+
+@query(f"""WITH {POINTS}, d AS (SELECT p.id, s.id AS site, sqrt(pow(p.x-s.x,2)+pow(p.y-s.y,2)) AS dist, row_number() OVER (PARTITION BY p.id ORDER BY sqrt(pow(p.x-s.x,2)+pow(p.y-s.y,2)), s.id) AS r FROM points p, points s WHERE s.label = 3)
+SELECT id, site, round(dist, 6) AS dist FROM d WHERE r = 1""")
+def nearest_site(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return spatial.nearest(p, p.where("label = 3").withColumnRenamed("id", "site"), 25.0).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"""WITH {POINTS} SELECT p.id, count(DISTINCT r.label) AS routes_near FROM points p JOIN points r ON p.id % 5 = 0 AND sqrt(pow(p.x-r.x,2)+pow(p.y-r.y,2)) <= 40 GROUP BY p.id""")
+def radius_distinct_routes(spark, sf_dir):
+    p = points(spark, sf_dir)
+    j = spatial.radius_join(p.where("id % 5 = 0").select("id", "x", "y"), p.select("label", F.col("x").alias("rx"), F.col("y").alias("ry")), 40.0)
+    return j.groupBy("id").agg(F.count_distinct("label").alias("routes_near"))
+
+
+_RING = [(-100.0, -80.0), (120.0, -60.0), (90.0, 110.0), (-20.0, 40.0), (-110.0, 90.0)]
+
+
+def _crossing_sql():
+    parts = []
+    for (x1, y1), (x2, y2) in zip(_RING, _RING[1:] + _RING[:1]):
+        parts.append(f"CASE WHEN ({y1} > y) <> ({y2} > y) AND x < ({x2 - x1}) * (y - ({y1})) / ({y2 - y1}) + ({x1}) THEN 1 ELSE 0 END")
+    return " + ".join(parts)
+
+
+@query(f"WITH {POINTS} SELECT id, ({_crossing_sql()}) % 2 = 1 AS inside FROM points")
+def point_in_polygon(spark, sf_dir):
+    return points(spark, sf_dir).select("id", spatial.in_polygon(F.col("x"), F.col("y"), _RING).alias("inside"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS collisions FROM lineitem JOIN part ON l_partkey = p_partkey AND l_quantity - 5 < p_size + 3 AND p_size < l_quantity + 5 GROUP BY 1, 2, 3, 4""")
+def interval_overlap(spark, sf_dir):
+    voxels = _routes(spark, sf_dir).select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("xy"), "l_suppkey", (F.col("l_quantity") - 5).alias("z_bot"), (F.col("l_quantity") + 5).alias("z_top"))
+    walls = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("xy"), F.col("p_size").alias("base"), (F.col("p_size") + 3).alias("top"))
+    j = spatial.overlap_join(voxels, walls, "xy", "z_bot", "z_top", "base", "top")
+    return j.groupBy("l_orderkey", "l_linenumber", F.col("xy").alias("l_partkey"), "l_suppkey").agg(F.count("*").alias("collisions"))
+
+
+@query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b, 'DB' || lpad(CAST(a.s_suppkey AS VARCHAR), 3, '0') || '_DB' || lpad(CAST(b.s_suppkey AS VARCHAR), 3, '0') AS pair_id FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey""")
+def od_pairs(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    a, b = s.select(F.col("s_suppkey").alias("a"), "s_nationkey"), s.select(F.col("s_suppkey").alias("b"), "s_nationkey")
+    return a.join(b, "s_nationkey").where("a < b").select("a", "b", F.format_string("DB%03d_DB%03d", "a", "b").alias("pair_id"))
+
+
+@query("""WITH b AS (SELECT s_nationkey AS nation, s_suppkey AS site FROM supplier WHERE s_acctbal > 0), m AS (SELECT c_nationkey AS nation, c_acctbal FROM customer)
+SELECT site, count(c_acctbal) AS nearby, count(*) FILTER (c_acctbal > 0) AS flyable, max(c_acctbal) FILTER (c_acctbal > 0) AS best, count(*) FILTER (c_acctbal > 0) > 0 AS is_accessible FROM b LEFT JOIN m USING (nation) GROUP BY site""")
+def accessibility(spark, sf_dir):
+    b = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("site"))
+    m = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_acctbal")
+    ok = F.col("c_acctbal") > 0
+    return b.join(m, "nation", "left").groupBy("site").agg(F.count("c_acctbal").alias("nearby"), F.count_if(ok).alias("flyable"), F.max(F.when(ok, F.col("c_acctbal"))).alias("best"), (F.count_if(ok) > 0).alias("is_accessible"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def anti_selected(spark, sf_dir):
+    return table(spark, sf_dir, "orders").join(_routes(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("""SELECT c_custkey, round(CASE WHEN hi > lo THEN least(1, greatest(0, (c_acctbal - lo) / (hi - lo))) ELSE 0 END, 9) AS norm FROM customer, (SELECT quantile_cont(c_acctbal, 0.01) AS lo, quantile_cont(c_acctbal, 0.99) AS hi FROM customer)""")
+def robust_norm(spark, sf_dir):
+    return C.robust_norm(table(spark, sf_dir, "customer"), "c_acctbal", "norm").select("c_custkey", F.round("norm", 9).alias("norm"))
+
+
+@query("""SELECT p_partkey, round((p_retailprice - lo) / (hi - lo), 9) AS norm, round(1 - (p_retailprice - lo) / (hi - lo), 9) AS inverted FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)""")
+def min_max_norm(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    b = p.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
+    d = p.crossJoin(F.broadcast(b))  # one row
+    return d.select("p_partkey", *[F.round(C.min_max(F.col("p_retailprice"), F.col("lo"), F.col("hi"), i), 9).alias(n) for i, n in ((False, "norm"), (True, "inverted"))])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount >= 0.08 AND l_returnflag <> 'A' AS no_fly, round(CASE WHEN (l_discount >= 0.08 AND l_returnflag <> 'A') OR l_discount <= 0 THEN 0 ELSE 1 / l_discount END, 6) AS velocity FROM lineitem""")
+def flyability(spark, sf_dir):
+    r = _routes(spark, sf_dir)
+    nf = C.no_fly(F.col("l_discount"), 0.08, "ge", F.col("l_returnflag") == "A")
+    return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", nf.alias("no_fly"), F.round(C.velocity(F.col("l_discount"), nf), 6).alias("velocity"))
+
+
+@query("""SELECT c_custkey, upper(coalesce(nullif(regexp_extract(trim(c_name), '^([A-Za-z_]+)', 1), ''), trim(c_name))) AS prefix, CASE WHEN regexp_matches(c_name, '000$') THEN 'hub' WHEN regexp_matches(c_mktsegment, '^(BUILD|MACH)') THEN 'obstacle' ELSE 'ordinary' END AS kind,
+upper(regexp_extract(c_name, '^([A-Za-z_]+)', 1)) || coalesce(CAST(CAST(nullif(regexp_extract(c_name, '(\\d+)', 1), '') AS BIGINT) AS VARCHAR), '') AS match_key FROM customer""")
+def label_classes(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    kind = F.when(F.col("c_name").rlike("000$"), "hub").when(F.col("c_mktsegment").rlike("^(BUILD|MACH)"), "obstacle").otherwise("ordinary")
+    return c.select("c_custkey", C.label_prefix(F.col("c_name")).alias("prefix"), kind.alias("kind"), C.endpoint_key(F.col("c_name")).alias("match_key"))
+
+
+_TEXTS = "(VALUES (1, '12,5 m'), (2, '30 ft'), (3, '7;9'), (4, 'tall'), (5, NULL), (6, '110000'), (7, '110kv'), (8, '35 v'))"
+
+
+@query("""SELECT * FROM (VALUES (1, 12.5, NULL), (2, 9.144, NULL), (3, 7.0, 7.0), (4, NULL, NULL), (5, NULL, NULL), (6, 110000.0, 110.0), (7, 110.0, NULL), (8, 35.0, 35.0)) t(id, metres, kilovolts)""")
+def parse_tags(spark, sf_dir):
+    t = spark.sql(f"SELECT * FROM {_TEXTS} AS t(id, raw)")
+    return t.select("id", F.round(C.parse_metres(F.col("raw")), 6).alias("metres"), C.parse_kilovolts(F.col("raw")).alias("kilovolts"))
+
+
+@query("SELECT * FROM (VALUES (1, 12.0), (2, 9.0), (3, 7.5), (4, 5.0)) t(id, height)")
+def taxonomy_height(spark, sf_dir):
+    t = spark.sql("SELECT * FROM (VALUES (1, 'S+HHT:12'), (2, 'CR+H:3+X'), (3, 'HBET:2-3'), (4, 'none')) AS t(id, raw)")
+    return t.select("id", C.taxonomy_height(F.col("raw"), 5.0).alias("height"))
+
+
+@query("""SELECT event_id, round(risk, 6) AS risk, risk > 0.9 OR event_type = 'error' AS no_fly FROM (SELECT *, greatest(least(1, greatest(0, (value - 5) / 30)), least(1, greatest(0, (CAST(json_extract(props, '$.k') AS DOUBLE) - 20) / 70))) AS risk FROM events)""")
+def forecast_risk(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").try_cast("double"))
+    risk = F.greatest(C.ramp(F.col("value"), 5, 35), C.ramp(F.col("k"), 20, 90))
+    return e.select("event_id", F.round(risk, 6).alias("risk"), F.coalesce((risk > 0.9) | (F.col("event_type") == "error"), F.lit(False)).alias("no_fly"))
+
+
+@query("""WITH v AS (SELECT CAST(floor(l_partkey / 50.0) AS BIGINT) AS ix, CAST(floor(l_quantity / 5) AS BIGINT) AS iy FROM lineitem) SELECT ix, iy, count(*) AS n FROM v GROUP BY 1, 2""")
+def cell_counts(spark, sf_dir):
+    return grid.cell_counts(_routes(spark, sf_dir), F.col("l_partkey"), F.col("l_quantity"), 5.0).groupBy(F.floor(F.col("ix") / 10).cast("long").alias("ix"), "iy").agg(F.sum("n").alias("n"))
+
+
+_GRID = """g AS (SELECT c_nationkey AS ix, CAST(date_part('month', o_orderdate) AS INT) AS iy, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
+
+
+def _grid(spark, sf):
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.groupBy(F.col("c_nationkey").alias("ix"), F.month("o_orderdate").alias("iy")).agg(F.sum("o_totalprice").alias("v"))
+
+
+@query(f"""WITH {_GRID}, s AS (SELECT a.ix, a.iy, a.v, b.v AS w FROM g a JOIN g b ON abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1)
+SELECT ix, iy, round(v, 5) AS v, round(avg(w), 5) AS mean, round(max(w) - min(w), 5) AS relief, round(v - avg(w), 5) AS tpi, round(sqrt(avg(pow(w - v, 2))), 5) AS tri FROM s GROUP BY ix, iy, v""")
+def terrain_stencil(spark, sf_dir):
+    t = grid.terrain(_grid(spark, sf_dir), "v")
+    return t.select("ix", "iy", *[F.round(c, 5).alias(c) for c in ("v", "mean", "relief", "tpi", "tri")])
+
+
+@query(f"""WITH {_GRID}, n AS (SELECT *, lag(v) OVER x AS l, lead(v) OVER x AS r, lag(v) OVER y AS d, lead(v) OVER y AS u FROM g WINDOW x AS (PARTITION BY iy ORDER BY ix), y AS (PARTITION BY ix ORDER BY iy)),
+k AS (SELECT *, CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN (r-l)/2 WHEN r IS NOT NULL THEN r-v WHEN l IS NOT NULL THEN v-l ELSE 0 END AS gx, CASE WHEN d IS NOT NULL AND u IS NOT NULL THEN (u-d)/2 WHEN u IS NOT NULL THEN u-v WHEN d IS NOT NULL THEN v-d ELSE 0 END AS gy FROM n)
+SELECT ix, iy, round(gx, 5) AS gx, round(gy, 5) AS gy, round(degrees(atan(sqrt(gx*gx+gy*gy))), 6) AS slope_deg FROM k""")
+def slope_aspect(spark, sf_dir):
+    s = grid.slope(_grid(spark, sf_dir), "v")
+    return s.select("ix", "iy", F.round("gx", 5).alias("gx"), F.round("gy", 5).alias("gy"), F.round("slope_deg", 6).alias("slope_deg"))
+
+
+@query("""WITH d AS (SELECT p_retailprice - lag(p_retailprice) OVER (ORDER BY p_retailprice) AS d FROM (SELECT DISTINCT p_retailprice FROM part)) SELECT round(quantile_cont(d, 0.5), 9) AS spacing FROM d WHERE d > 0""")
+def grid_spacing(spark, sf_dir):
+    return grid.spacing(table(spark, sf_dir, "part"), "p_retailprice").select(F.round("spacing", 9).alias("spacing"))
+
+
+@query("""SELECT s_suppkey AS xy_id, CAST(z.iz AS INT) AS iz, z.iz * 20.0::DOUBLE AS z, s_acctbal / 100 BETWEEN z.iz * 20 AND z.iz * 20 + 20 AS burned FROM supplier, (SELECT unnest(range(0, 5)) AS iz) z""")
+def voxel_grid(spark, sf_dir):
+    v = grid.voxels(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("xy_id"), "s_acctbal"), [0.0, 20.0, 40.0, 60.0, 80.0])
+    return v.select("xy_id", "iz", "z", (F.col("s_acctbal") / 100).between(F.col("z"), F.col("z") + 20).alias("burned"))
+
+
+@query("""WITH h AS (SELECT l_suppkey AS node, count(DISTINCT l_orderkey) AS hits FROM lineitem GROUP BY 1), t AS (SELECT quantile_cont(hits, 0.9) AS cut FROM h) SELECT node, hits FROM h, t WHERE hits >= cut ORDER BY hits DESC, node LIMIT 25""")
+def percentile_top_n(spark, sf_dir):
+    h = _routes(spark, sf_dir).groupBy(F.col("l_suppkey").alias("node")).agg(F.count_distinct("l_orderkey").alias("hits"))
+    cut = h.agg(F.percentile("hits", 0.9).alias("cut"))
+    return h.crossJoin(F.broadcast(cut)).where("hits >= cut").select("node", "hits").orderBy(F.desc("hits"), "node").limit(25)
+
+
+@query("""WITH w AS (SELECT s_nationkey AS cluster_id, greatest(s_acctbal, 1) AS w, s_suppkey AS x, s_acctbal FROM supplier) SELECT cluster_id, round(sum(w * x) / sum(w), 6) AS centroid, count(*) AS members, max(s_acctbal) AS max_hit, string_agg(CAST(x AS VARCHAR), ';' ORDER BY CAST(x AS VARCHAR)) AS ids FROM w GROUP BY 1""")
+def cluster_summary(spark, sf_dir):
+    w = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("cluster_id"), F.greatest("s_acctbal", F.lit(1.0)).alias("w"), F.col("s_suppkey").alias("x"), "s_acctbal")
+    return w.groupBy("cluster_id").agg(F.round(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 6).alias("centroid"), F.count("*").alias("members"), F.max("s_acctbal").alias("max_hit"), F.array_join(F.array_sort(F.collect_list(F.col("x").cast("string"))), ";").alias("ids"))
+
+
+@query("""WITH a AS (SELECT CAST(floor(o_totalprice / 50000) AS BIGINT) AS area, count(*) AS n_nodes, round(sum(o_totalprice), 2) AS density FROM orders GROUP BY 1), p AS (SELECT CAST(floor(o_totalprice / 50000) AS BIGINT) AS area, count(*) AS pool FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1)
+SELECT area, coalesce(n_nodes, 0) AS n_nodes, coalesce(density, 0) AS density, coalesce(pool, 0) AS pool, round(coalesce(density, 0) / greatest(max(density) OVER (), 1), 6) AS density_norm FROM a FULL JOIN p USING (area)""")
+def area_summary(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("area", F.floor(F.col("o_totalprice") / 50000).cast("long"))
+    a = o.groupBy("area").agg(F.count("*").alias("n_nodes"), F.round(F.sum("o_totalprice"), 2).alias("density"))
+    p = o.where("o_orderpriority LIKE '1%'").groupBy("area").agg(F.count("*").alias("pool"))
+    j = a.join(p, "area", "full").fillna(0)
+    top = a.agg(F.greatest(F.max("density"), F.lit(1.0)).alias("top"))
+    return j.crossJoin(F.broadcast(top)).select("area", "n_nodes", "density", "pool", F.round(F.col("density") / F.col("top"), 6).alias("density_norm"))
+
+
+@query("""SELECT count(*) AS n, round(min(o_totalprice), 2) AS lo, round(quantile_cont(o_totalprice, 0.05), 4) AS p05, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.95), 4) AS p95, round(max(o_totalprice), 2) AS hi, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std FROM orders""")
+def raster_statistics(spark, sf_dir):
+    p = F.percentile("o_totalprice", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    d = table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("lo"), p.alias("p"), F.max("o_totalprice").alias("hi"), F.avg("o_totalprice").alias("mean"), F.stddev_pop("o_totalprice").alias("std"))
+    return d.select("n", F.round("lo", 2).alias("lo"), *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p05", "p50", "p95"))], F.round("hi", 2).alias("hi"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 45 THEN 'HIGH' WHEN p_type LIKE '%STEEL%' THEN 'BUILDING' WHEN p_size > 20 THEN 'TERRAIN' ELSE 'FREE' END AS label, p_size > 45 OR p_type LIKE '%STEEL%' OR p_size > 20 AS burned FROM part""")
+def priority_label(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    high, wall, ground = F.col("p_size") > 45, F.col("p_type").contains("STEEL"), F.col("p_size") > 20
+    return p.select("p_partkey", F.when(high, "HIGH").when(wall, "BUILDING").when(ground, "TERRAIN").otherwise("FREE").alias("label"), (high | wall | ground).alias("burned"))
+
+
+@query("""SELECT l_shipmode_n AS ship_year, coalesce(sum(l_quantity) FILTER (l_returnflag = 'A'), 0) AS A, coalesce(sum(l_quantity) FILTER (l_returnflag = 'N'), 0) AS N, coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS R FROM (SELECT *, CAST(date_part('year', l_shipdate) AS INT) AS l_shipmode_n FROM lineitem) GROUP BY 1""")
+def pivot_matrix(spark, sf_dir):
+    r = _routes(spark, sf_dir).withColumn("ship_year", F.year("l_shipdate"))
+    return r.groupBy("ship_year").pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity")).fillna(0.0)
+
+
+_NATIONS = """e AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST((c_custkey * 7) % 25 AS BIGINT) AS dst FROM customer WHERE c_custkey % 11 = 0 AND c_nationkey <> (c_custkey * 7) % 25)"""
+
+
+def _nation_edges(spark, sf):
+    c = table(spark, sf, "customer").where("c_custkey % 11 = 0")
+    return c.select(F.col("c_nationkey").cast("long").alias("src"), (F.col("c_custkey") * 7 % 25).cast("long").alias("dst")).where("src <> dst").distinct()
+
+
+@query(f"""WITH RECURSIVE {_NATIONS}, r(node, hops) AS (SELECT (SELECT min(src) FROM e), 0 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON e.src = r.node WHERE hops < 24) SELECT CAST(node AS BIGINT) AS node, CAST(min(hops) AS INT) AS hops FROM r GROUP BY node""")
+def bfs_hops(spark, sf_dir):
+    e = _nation_edges(spark, sf_dir)
+    return graph.hops(e, e.agg(F.min("src")).first()[0] or 0)
+
+
+@query(f"""WITH RECURSIVE {_NATIONS}, r(node, dist) AS (SELECT (SELECT min(src) FROM e), 0 UNION SELECT e.dst, dist + 1 + (e.src * 3 + e.dst) % 5 FROM r JOIN e ON e.src = r.node WHERE dist < 60) SELECT CAST(node AS BIGINT) AS node, CAST(min(dist) AS DOUBLE) AS dist FROM r GROUP BY node""")
+def shortest_paths(spark, sf_dir):
+    e = _nation_edges(spark, sf_dir)
+    return graph.distances(e.withColumn("cost", (1 + (F.col("src") * 3 + F.col("dst")) % 5).cast("double")), e.agg(F.min("src")).first()[0] or 0)
+
+
+@query(f"""WITH RECURSIVE {POINTS}, e AS (SELECT a.id AS a, b.id AS b FROM points a JOIN points b ON a.id <> b.id AND sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 8), r(node, m) AS (SELECT id, id FROM points UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.node) SELECT node, min(m) AS component FROM r GROUP BY node""")
+def overlap_components(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return graph.components(p.select(F.col("id").alias("node")), spatial.within_pairs(p, 8.0).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+@query()
+def density_clusters(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return graph.dbscan(p.select(F.col("id").alias("node"), F.lit(1.0).alias("weight")), spatial.within_pairs(p, 14.0).select("a", "b"), 5.0)
+
+
+@query()
+def route_search(spark, sf_dir):
+    e = _nation_edges(spark, sf_dir).withColumn("cost", (1 + (F.col("src") * 3 + F.col("dst")) % 5).cast("double"))
+    pairs = spark.range(25).select(F.col("id").alias("pair_id"), (F.col("id") % 5).alias("start"), F.col("id").alias("goal"))
+    return graph.solve(pairs, e, "dijkstra")

@@ -60,9 +60,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     width = N_FEATURES
     if not len(positive) or not len(unlabelled):
         return np.zeros(width), float(np.log(prior / (1 - prior))), np.zeros(width), np.ones(width)
-    both = np.concatenate((positive, unlabelled)).astype(np.float64)
-    mean, std = both.mean(axis=0), both.std(axis=0)
+    both = np.concatenate((positive, unlabelled))
+    mean, std = both.mean(axis=0, dtype=np.float64), both.std(axis=0, dtype=np.float64)
     std = np.where(std < 1e-4, np.inf, std)  # constant features stay out
+    del both
     p, u = np.clip((positive - mean) / std, -5, 5), np.clip((unlabelled - mean) / std, -5, 5)
     w, b = np.zeros(width), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
@@ -128,13 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     take_u = _sampled(d.select("doc_id").distinct(), unlabelled, 23)
     chosen = take_p.withColumn("p", F.lit(1)).join(take_u.withColumn("u", F.lit(1)), "doc_id", "full")
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+        return pd.Series([features(t).tobytes() for t in texts])
 
     # broadcast: at most positives + unlabelled short rows
     rows = d.join(F.broadcast(chosen), "doc_id").select("p", "u", of("text").alias("x")).toPandas()
-    pick = lambda c: np.stack(rows.loc[rows[c] == 1, "x"].to_numpy()) if (rows[c] == 1).any() else np.empty((0, N_FEATURES))
+    pick = lambda c: np.frombuffer(b"".join(rows.loc[rows[c] == 1, "x"]), np.float32).reshape(-1, N_FEATURES) if (rows[c] == 1).any() else np.empty((0, N_FEATURES))
     return Model(pick("p"), pick("u"), prior)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder (set here only where the session names none)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -21,39 +21,39 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, source: int, most: int = 64) -> DataFrame:
     """Breadth-first levels from `source` over directed (src, dst): node, hops."""
-    seen = _cut(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0).alias("hops")))
+    seen = cut(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0).alias("hops")))
     front = seen
     for k in range(1, most + 1):
         new = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        new = _cut(new.select("node", F.lit(k).alias("hops")))
+        new = cut(new.select("node", F.lit(k).alias("hops")))
         if not new.limit(1).count():
             break
-        seen, front = _cut(seen.unionByName(new)), new
+        seen, front = cut(seen.unionByName(new)), new
     return seen
 
 
 def distances(edges: DataFrame, source: int, most: int = 500) -> DataFrame:
     """Least path cost from `source` over directed (src, dst, cost >= 0), by relaxing the nodes that improved: node, dist."""
-    best = _cut(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0.0).alias("dist")))
+    best = cut(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0.0).alias("dist")))
     front = best
     for _ in range(most):
         reach = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("cost")).alias("new"))
-        better = _cut(reach.join(best, "node", "left").where("dist IS NULL OR new < dist").select("node", F.col("new").alias("dist")))
+        better = cut(reach.join(best, "node", "left").where("dist IS NULL OR new < dist").select("node", F.col("new").alias("dist")))
         if not better.limit(1).count():
             return best
-        best, front = _cut(best.join(better.select("node"), "node", "left_anti").unionByName(better)), better
+        best, front = cut(best.join(better.select("node"), "node", "left_anti").unionByName(better)), better
     raise RuntimeError(f"distances did not settle in {most} rounds")
 
 
 def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
     """(node, component): the least node reachable over undirected (src, dst), by min-label propagation with shortcuts."""
-    both = _cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = _cut(nodes.select("node", F.col("node").alias("component")))
+    both = cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    label = cut(nodes.select("node", F.col("node").alias("component")))
     for _ in range(most):
         near = both.join(label, both["dst"] == label["node"]).groupBy("src").agg(F.min("component").alias("m"))
         new = label.join(near, label["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = new.select(F.col("node").alias("j"), F.col("component").alias("c2"))
-        new = _cut(new.join(jump, new["component"] == jump["j"], "left").select("node", F.least("component", "c2").alias("component")))
+        new = cut(new.join(jump, new["component"] == jump["j"], "left").select("node", F.least("component", "c2").alias("component")))
         if not new.join(label.withColumnRenamed("component", "old"), "node").where("old <> component").limit(1).count():
             return new
         label = new
@@ -67,7 +67,7 @@ def dbscan(nodes: DataFrame, pairs: DataFrame, least_weight: float) -> DataFrame
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     w = nodes.select(F.col("node").alias("b"), F.col("weight").alias("wb"))
     near = both.join(w, "b").groupBy(F.col("a").alias("node")).agg(F.sum("wb").alias("around"))
-    flagged = _cut(nodes.join(near, "node", "left").select("node", (F.col("weight") + F.coalesce("around", F.lit(0.0)) >= least_weight).alias("is_core")))
+    flagged = cut(nodes.join(near, "node", "left").select("node", (F.col("weight") + F.coalesce("around", F.lit(0.0)) >= least_weight).alias("is_core")))
     core = flagged.where("is_core").select("node")
     inner = pairs.join(core.withColumnRenamed("node", "a"), "a", "left_semi").join(core.withColumnRenamed("node", "b"), "b", "left_semi")
     c = components(core, inner.select(F.col("a").alias("src"), F.col("b").alias("dst")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
@@ -26,23 +28,23 @@ def within_pairs(points: DataFrame, radius: float, key: str = "id") -> DataFrame
     return radius_join(a, b, radius).where("a < b").select("a", "b", "dist")
 
 
-def nearest(points: DataFrame, sites: DataFrame, reach: float, key: str = "id", site: str = "site", rings: int = 6) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, reach: float, key: str = "id", site: str = "site") -> DataFrame:
     """The nearest site of each point (ties to the least site): key, site, dist; null and no distance if there are no sites.
 
-    Rounds of radius joins with doubling reach; points that found a site within a round's reach are done.  What
-    the rounds leave is compared with all sites, in one broadcast join whose site side is checked to be small.
+    Rounds of radius joins with doubling reach; points that found a site within a round's reach are done.  Each
+    round's points are checkpointed, so a round does not repeat the ones before it.
     """
-    sites = sites.select(site, F.col("x").alias("rx"), F.col("y").alias("ry"))
-    left, done = points.select(key, "x", "y"), []
-    for k in range(rings):
-        hit = radius_join(left, sites, reach * 2**k).groupBy(key).agg(F.min(F.struct("dist", site)).alias("m")).select(key, F.col(f"m.{site}").alias(site), F.col("m.dist").alias("dist"))
-        done.append(hit)
-        left = left.join(hit.select(key), key, "left_anti")
-    far = left.join(sites, F.lit(True), "left")
-    far = far.groupBy(key).agg(F.min(F.when(F.col(site).isNotNull(), F.struct(F.sqrt(F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2)).alias("dist"), F.col(site)))).alias("m"))
-    out = far.select(key, F.col(f"m.{site}").alias(site), F.col("m.dist").alias("dist"))
-    for d in done:
-        out = out.unionByName(d)
+    sites = sites.select(site, F.col("x").alias("rx"), F.col("y").alias("ry")).where("rx IS NOT NULL AND ry IS NOT NULL")
+    nowhere = lambda d: d.select(key, F.lit(None).cast(dict(sites.dtypes)[site]).alias(site), F.lit(None).cast("double").alias("dist"))
+    placed = points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    out = nowhere(points.where("x IS NULL OR y IS NULL"))
+    if not sites.limit(1).count():
+        return out.unionByName(nowhere(placed))
+    left = cut(placed)
+    while left.limit(1).count():
+        hit = radius_join(left, sites, reach).groupBy(key).agg(F.min(F.struct("dist", site)).alias("m")).select(key, F.col(f"m.{site}").alias(site), F.col("m.dist").alias("dist"))
+        hit = cut(hit)
+        out, left, reach = out.unionByName(hit), cut(left.join(hit.select(key), key, "left_anti")), reach * 2
     return out
 
 

@@ -50,8 +50,8 @@ def test_degenerate_norms(spark):
 def test_nearest_with_ties_and_without_sites(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 0.0)], "id long, x double, y double")
     s = spark.createDataFrame([(8, 1.0, 0.0), (7, -1.0, 0.0)], "site long, x double, y double")
-    assert {(r.id, r.site, r.dist) for r in spatial.nearest(p, s, 2.0, rings=2).collect()} == {(1, 7, 1.0), (2, 8, 49.0)}
-    assert {(r.id, r.site, r.dist) for r in spatial.nearest(p, s.limit(0), 2.0, rings=1).collect()} == {(1, None, None), (2, None, None)}
+    assert {(r.id, r.site, r.dist) for r in spatial.nearest(p, s, 2.0).collect()} == {(1, 7, 1.0), (2, 8, 49.0)}
+    assert {(r.id, r.site, r.dist) for r in spatial.nearest(p, s.limit(0), 2.0).collect()} == {(1, None, None), (2, None, None)}
 
 
 def test_touching_faces_do_not_collide(spark):

@@ -142,7 +142,7 @@ def radius_top_k(spark, sf_dir):
 SELECT id, site, round(dist, 6) AS dist FROM d WHERE r = 1""")
 def nearest_site(spark, sf_dir):
     p = points(spark, sf_dir)
-    return spatial.nearest(p, p.where("label = 3").withColumnRenamed("id", "site"), 25.0).withColumn("dist", F.round("dist", 6))
+    return spatial.nearest(p, p.where("label = 3").withColumnRenamed("id", "site"), 80.0).withColumn("dist", F.round("dist", 6))
 
 
 @query(f"""WITH {POINTS} SELECT p.id, count(DISTINCT r.label) AS routes_near FROM points p JOIN points r ON p.id % 5 = 0 AND sqrt(pow(p.x-r.x,2)+pow(p.y-r.y,2)) <= 40 GROUP BY p.id""")

@@ -109,7 +109,8 @@ def write(pages: DataFrame) -> tuple[DataFrame, str]:
     key = F.pandas_udf(lambda urls: urls.map(url_key), "string")
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", key(F.col("url")).alias("key"), payload.alias("payload"))
-    p = p.withColumns({"sha1": F.sha1("payload"), "bytes": F.length("payload").cast("long")})
+    packed = F.pandas_udf(lambda payloads: payloads.map(zlib.compress), "binary")  # payloads are shuffled twice below
+    p = p.withColumns({"sha1": F.sha1("payload"), "bytes": F.length("payload").cast("long")}).withColumn("payload", packed(F.col("payload")))
     best = p.groupBy("sha1", "bytes").agg(F.max("page_id").alias("winner"), F.max_by("key", F.struct("page_id", "key")).alias("winner_key"))
     p = p.join(best, ["sha1", "bytes"])
     # rows of the winning id and key write the response in turn; a task sees such equal rows together below, and the first writes it
@@ -131,6 +132,7 @@ def write(pages: DataFrame) -> tuple[DataFrame, str]:
                 pid, winner = (None if x == "" else int(x) for x in (page_id, winner))
                 this = (k, pid, sha1)
                 revisit = not first or this == last
+                payload = b"" if revisit else zlib.decompress(payload)
                 last = this
                 data = gzip.compress(record(pid, url, payload, base32(sha1), n, winner, revisit), 6, mtime=0)
                 out.write(data)

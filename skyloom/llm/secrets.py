@@ -63,13 +63,12 @@ def train(labelled: DataFrame) -> list[int]:
     whatever the sample.  Null texts and characters outside ALPHABET count for nothing.
     """
     k = len(ALPHABET)
-    of = lambda c: F.instr(F.lit(ALPHABET), c) - 1
     text = F.coalesce(F.col("text"), F.lit(""))
     pairs = (labelled.select(F.col("label"), text.alias("text")).where(F.length("text") > 1)
              .select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.col("text").substr(i, F.lit(2)))).alias("p"))
              .groupBy("label", "p").count())
-    pairs = (pairs.select("label", F.instr(F.lit(ALPHABET), F.substring("p", 1, 1)).alias("a"), F.instr(F.lit(ALPHABET), F.substring("p", 2, 1)).alias("b"), "count")
-             if False else pairs.select("label", F.expr(f"locate(substring(p, 1, 1), '{ALPHABET}') - 1").alias("a"), F.expr(f"locate(substring(p, 2, 1), '{ALPHABET}') - 1").alias("b"), "count"))
+    place = lambda i: F.position(F.substring("p", i, 1), F.lit(ALPHABET)) - 1
+    pairs = pairs.select("label", place(1).alias("a"), place(2).alias("b"), "count")
     pairs = pairs.where("a >= 0 and b >= 0").groupBy("a", "b").agg(*[F.sum(F.when(F.col("label") == y, F.col("count")).otherwise(0)).alias(f"n{y}") for y in (0, 1)])
     grid = labelled.sparkSession.range(k * k).select((F.col("id") / k).cast("int").alias("a"), (F.col("id") % k).cast("int").alias("b")).join(F.broadcast(pairs), ["a", "b"], "left").fillna(0)
     rows = grid.groupBy("a").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
@@ -84,21 +83,22 @@ def train(labelled: DataFrame) -> list[int]:
 def token_ratio(token: Column, table: Column) -> Column:
     """Summed log-likelihood ratio of a token over ALPHABET, in thousandths."""
     k = len(ALPHABET)
-    codes = F.transform(F.split(token, ""), lambda c: F.locate_in(c)) if False else F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.position(token.substr(i, F.lit(1)), F.lit(ALPHABET)) - 1)
+    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.position(token.substr(i, F.lit(1)), F.lit(ALPHABET)) - 1)
     return F.aggregate(F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: F.element_at(table, (a * k + b + 1).cast("int"))), F.lit(0), lambda x, y: x + y)
 
 
 _NONE = "array<struct<start:bigint,end:bigint,kind:int,match:string>>"
 
 
-def _found(text: Column, pattern: str, kind: int, among: Column | None = None) -> Column:
-    """Spans of all matches, leftmost first, in code points: what lies between the matches gives their places."""
+def _found(text: Column, pattern: str, among: Column | None = None) -> Column:
+    """All matches, leftmost first."""
     m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     m = m if among is None else F.when(among, m).otherwise(F.array().cast("array<string>"))
     return m
 
 
 def _spans(text: Column, matches: Column, pattern: str, kind: int) -> Column:
+    """Places of the matches in code points, from the lengths of what lies between them."""
     between = F.split(text, pattern, -1)
     sizes = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda a, b: (F.length(a) + F.length(b)).cast("long"))
     made = F.zip_with(running_totals(sizes), matches, lambda e, t: F.struct((e - F.length(t)).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), t.alias("match")))
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, table: list[int], text: str = "text", least_total: int
     model = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
     t = F.coalesce(F.col("__text"), F.lit(""))
     d = docs.withColumn("__text", F.col(text))
-    d = d.withColumns({"__m0": _found(t, ASSIGN, 0, t.rlike("[:=]")), "__m1": _found(t, ACCESS, 1, F.contains(t, F.lit("AKIA"))), "__m2": _found(t, HEX, 2), "__m3": _found(t, TOKEN, 3)})
+    d = d.withColumns({"__m0": _found(t, ASSIGN, t.rlike("[:=]")), "__m1": _found(t, ACCESS, F.contains(t, F.lit("AKIA"))), "__m2": _found(t, HEX), "__m3": _found(t, TOKEN)})
     d = d.withColumns({f"__s{i}": _spans(t, F.col(f"__m{i}"), p, i) for i, p in enumerate((ASSIGN, ACCESS, HEX, TOKEN))})
     assign = F.filter("__s0", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 12)
     d = d.withColumn("__base", F.concat(assign, F.col("__s1"), F.col("__s2")))

@@ -136,3 +136,29 @@ def solve(pairs: DataFrame, edges: DataFrame, name: str, most_edges: int = 2_000
         return pd.DataFrame(out, columns=["pair_id", "success", "path_indices", "total_cost"])
 
     return pairs.groupBy("start").applyInPandas(run, "pair_id long, success boolean, path_indices array<long>, total_cost double")
+
+
+def solve_on_plane(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, find: Callable, blocked: list[int] = (), most_edges: int = 2_000_000) -> DataFrame:
+    """Paths of (pair_id, start, goal) by a solver of search.py over edges (src, dst, cost) and nodes (node, x, y).
+
+    The graph is checked against `most_edges` and then broadcast; pairs are dealt one by one over the tasks.
+    """
+    from .search import Graph
+
+    sc = edges.sparkSession.sparkContext
+    if edges.count() > most_edges or nodes.count() > most_edges:
+        raise ValueError(f"over {most_edges} edges: use distances()")
+    near: dict[int, list] = {}
+    for r in edges.select("src", "dst", "cost").orderBy("src", "cost", "dst").toLocalIterator():
+        near.setdefault(r["src"], []).append((r["dst"], r["cost"]))
+    shared = sc.broadcast(Graph(near, {r["node"]: (r["x"], r["y"]) for r in nodes.toLocalIterator()}, frozenset(blocked)))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                path, cost = find(shared.value, r.start, r.goal)
+                out.append((r.pair_id, bool(path), [int(x) for x in path], round(cost, 9) if path else None))
+            yield pd.DataFrame(out, columns=["pair_id", "success", "path_indices", "total_cost"])
+
+    return pairs.repartition("pair_id").mapInPandas(run, "pair_id long, success boolean, path_indices array<long>, total_cost double")

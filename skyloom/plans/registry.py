@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import graph, grid, routes, spatial
+from ..operators import graph, grid, routes, search, selection, spatial
 from .tables import POINTS, ROUTE_ORDER, SQL_ORDER, points, table
 
 QUERIES: dict = {}
@@ -366,3 +366,97 @@ def route_search(spark, sf_dir):
     e = _nation_edges(spark, sf_dir).withColumn("cost", (1 + (F.col("src") * 3 + F.col("dst")) % 5).cast("double"))
     pairs = spark.range(25).select(F.col("id").alias("pair_id"), (F.col("id") % 5).alias("start"), F.col("id").alias("goal"))
     return graph.solve(pairs, e, "dijkstra")
+
+
+def _city(spark, sf):
+    """Nations as nodes on a ring with chords, costed by their keys; coordinates on a plane."""
+    e = _nation_edges(spark, sf).withColumn("cost", (1 + (F.col("src") * 3 + F.col("dst")) % 5).cast("double"))
+    at = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("node"), (F.col("n_nationkey") % 5 * 10.0).alias("x"), (F.floor(F.col("n_nationkey") / 5) * 10.0).alias("y"))
+    pairs = spark.range(25).select(F.col("id").alias("pair_id"), (F.col("id") % 5).alias("start"), F.col("id").alias("goal"))
+    return pairs, e, at
+
+
+@query()
+def best_first_routes(spark, sf_dir):
+    """A* over the nations: cost and path of 25 pairs."""
+    pairs, e, at = _city(spark, sf_dir)
+    return graph.solve_on_plane(pairs, e, at, search.astar)
+
+
+@query()
+def sight_routes(spark, sf_dir):
+    """Paths smoothed by line of sight around blocked nations."""
+    pairs, e, at = _city(spark, sf_dir)
+    return graph.solve_on_plane(pairs, e, at, lambda g, a, b: search.theta(g, a, b, 3.0), blocked=[7, 18])
+
+
+@query()
+def colony_routes(spark, sf_dir):
+    pairs, e, at = _city(spark, sf_dir)
+    return graph.solve_on_plane(pairs, e, at, lambda g, a, b: search.colony(g, a, b, 12, 10))
+
+
+def _scored(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 97 * 10.0).alias("x"), (F.col("c_custkey") % 83 * 10.0).alias("y"), F.col("c_nationkey").alias("area"), F.col("c_mktsegment").alias("seg"),
+                    (F.col("c_custkey") * 31 % 1009).alias("hits"), (F.col("c_custkey") * 17 % 53).alias("degree"))
+
+
+_SCORED = "c AS (SELECT c_custkey AS id, c_custkey % 97 * 10.0::DOUBLE AS x, c_custkey % 83 * 10.0::DOUBLE AS y, c_nationkey AS area, c_mktsegment AS seg, c_custkey * 31 % 1009 AS hits, c_custkey * 17 % 53 AS degree FROM customer)"
+
+
+@query(f"""WITH {_SCORED}, m AS (SELECT greatest(max(hits), 1) AS mh, greatest(max(degree), 1) AS md FROM c)
+SELECT id, round(0.7 * hits / mh + 0.3 * degree / md + CASE WHEN seg = 'BUILDING' THEN 0.1 ELSE 0 END, 6) AS score FROM c, m""")
+def candidate_scores(spark, sf_dir):
+    d = _scored(spark, sf_dir).withColumn("major", F.col("seg") == "BUILDING")
+    return selection.candidate_score(d, {"hits": 0.7, "degree": 0.3}, "major", 0.1).select("id", F.round("score", 6).alias("score"))
+
+
+@query()
+def balanced_candidates(spark, sf_dir):
+    """Per nation at most four customers, best first, 150 m apart."""
+    d = selection.candidate_score(_scored(spark, sf_dir), {"hits": 0.7, "degree": 0.3})
+    return selection.separated(d, "area", 4, 150.0).select("area", "rank", "id")
+
+
+@query(f"""WITH {_SCORED}, w AS (SELECT *, greatest(hits, 1) AS w FROM c), g AS (SELECT *, sum(x*w) OVER p / sum(w) OVER p AS cx, sum(y*w) OVER p / sum(w) OVER p AS cy FROM w WINDOW p AS (PARTITION BY area)),
+r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY hits DESC, round(sqrt(pow(x-cx,2)+pow(y-cy,2)),6), id) AS rn FROM g) SELECT area, id, hits FROM r WHERE rn = 1""")
+def cluster_representatives(spark, sf_dir):
+    return selection.representatives(_scored(spark, sf_dir), "area").select("area", "id", "hits")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN abs(p_size-10) <= abs(p_size-25) AND abs(p_size-10) <= abs(p_size-40) THEN 10.0::DOUBLE WHEN abs(p_size-25) <= abs(p_size-40) THEN 25.0::DOUBLE ELSE 40.0::DOUBLE END AS level FROM part""")
+def nearest_levels(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("z"))
+    levels = spark.createDataFrame([(10.0,), (25.0,), (40.0,)], "level double")
+    return selection.nearest_level(d, levels).select("id", F.col("nearest_level").alias("level"))
+
+
+@query("""SELECT l_returnflag AS tag_value, 'returnflag' AS tag, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT l_linestatus, 'linestatus', count(*) FROM lineitem GROUP BY 1""")
+def tag_counts(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select(F.explode(F.map_from_arrays(F.array(F.lit("returnflag"), F.lit("linestatus")), F.array("l_returnflag", "l_linestatus"))).alias("tag", "tag_value"))
+    return l.groupBy("tag", "tag_value").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT bucket, n, CAST(total_m AS DOUBLE) AS total_m, round(total_m / 1000, 9) AS total_km FROM (SELECT p_brand AS bucket, count(*) AS n, sum(p_size) AS total_m FROM part GROUP BY 1)""")
+def road_summary(spark, sf_dir):
+    g = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("bucket")).agg(F.count("*").alias("n"), F.sum("p_size").cast("double").alias("total_m"))
+    return g.withColumn("total_km", F.round(F.col("total_m") / 1000, 9))
+
+
+@query("""WITH c AS (SELECT round(l_discount, 2) AS slowness FROM lineitem) SELECT slowness, count(*) AS n FROM c GROUP BY 1""")
+def slowness_classes(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.round("l_discount", 2).alias("slowness")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT count(*) AS n_rows, count(*) FILTER (l_quantity >= 40) AS n_capped, min(least(l_quantity, 40)) AS lowest, max(least(l_quantity, 40)) AS highest, round(avg(least(l_quantity, 40)), 6) AS mean FROM lineitem""")
+def capped_slowness(spark, sf_dir):
+    q = F.least(F.col("l_quantity"), F.lit(40.0))
+    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n_rows"), F.count_if(F.col("l_quantity") >= 40).alias("n_capped"), F.min(q).alias("lowest"), F.max(q).alias("highest"), F.round(F.avg(q), 6).alias("mean"))
+
+
+@query("""WITH g AS (SELECT CAST(l_partkey % 40 // 4 AS BIGINT) AS bx, CAST(l_suppkey % 40 // 4 AS BIGINT) AS by_, l_discount > 0.05 AS burned FROM lineitem) SELECT bx, by_ AS "by", count(*) AS n, count(*) FILTER (burned) AS n_burned FROM g GROUP BY 1, 2""")
+def coarse_blocks(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    block = lambda c: F.floor(F.col(c) % 40 / 4).cast("long")
+    return l.groupBy(block("l_partkey").alias("bx"), block("l_suppkey").alias("by")).agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("n_burned"))

@@ -3,11 +3,12 @@
 import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import columns as C
-from skyloom.operators import graph, grid, routes, spatial
+from skyloom.operators import graph, grid, routes, search, selection, spatial
 from skyloom.plans import registry
 from skyloom.sources import text
 
@@ -90,3 +91,64 @@ def test_scans(spark, tmp_path):
     assert [(r.x, r.slowness, r.label_prefix) for r in rows] == [(1.0, 0.5, "DB_"), (5.0, 0.1, "FLZ")]
     assert text.parameters("A = 3 # n\nB='x#y'\nC = yes\nD = foo\n", {"E": 1}) == {"A": 3, "B": "x#y", "C": True, "D": "foo", "E": 1}
     assert text.rank_selection("1-3, 7") == [1, 2, 3, 7] and text.rank_selection("all") is None
+
+
+def _lattice(n=8, blocked=()):
+    at = {i * n + j: (j * 10.0, i * 10.0) for i in range(n) for j in range(n)}
+    near = {u: [(v, search.Graph({}, at).distance(u, v)) for v in at if v != u and search.Graph({}, at).distance(u, v) < 15] for u in at}
+    return search.Graph(near, at, frozenset(blocked))
+
+
+def test_best_first_is_cheapest_and_avoids_blocked():
+    g = _lattice(blocked=[27, 28, 35])
+    path, cost = search.astar(g, 0, 63)
+    plain = {u: [(v, c) for v, c in vs if v not in g.blocked] for u, vs in g.near.items() if u not in g.blocked}
+    assert not set(path) & g.blocked and math.isclose(cost, graph.dijkstra(plain, 0, 63)[1])
+    assert search.astar(g, 0, 27) == ([], math.inf) and search.astar(g, 5, 5) == ([5], 0)
+
+
+def test_sight_smoothing():
+    assert search.theta(_lattice(), 0, 7)[0] == [0, 7]
+    g = _lattice(blocked=[27, 28])
+    path, cost = search.theta(g, 24, 31, clearance=4.0)
+    assert all(search.in_sight(g, a, b, 4.0) or b in dict(g.near[a]) for a, b in zip(path, path[1:])) and cost <= search.astar(g, 24, 31)[1] + 1e-9
+
+
+def test_replanning_and_ranks():
+    g = _lattice()
+    path, _ = search.replanned(g, 0, 63, [(2, frozenset([27, 36]))])
+    assert path[0] == 0 and path[-1] == 63 and not {27, 36} & set(path[3:])
+    ranks = search.ranked(g, 0, 63, 3)
+    assert len(ranks) > 1 and ranks[0][1] <= ranks[1][1] and len({tuple(p) for p, _ in ranks}) == len(ranks)
+
+
+def test_colony_and_swarm():
+    g = _lattice(5)
+    path, cost = search.colony(g, 0, 24)
+    assert path[0] == 0 and path[-1] == 24 and cost < 2 * search.astar(g, 0, 24)[1]
+    x, loss = search.swarm(lambda p: float(((p - 3) ** 2).sum()), [0, 0], [10, 10])
+    assert loss < 1e-3 and np.allclose(x, 3, atol=0.1)
+
+
+def test_marching():
+    t = search.marched(np.ones((9, 9)), (4, 4))
+    assert math.isclose(t[4, 8], 4.0) and abs(t[0, 0] - math.hypot(4, 4)) < 1.0
+    assert search.descended(t, (4, 8))[0] == (4, 4)
+    wall = np.ones((5, 5))
+    wall[:, 2] = math.inf
+    assert search.descended(search.marched(wall, (2, 0)), (2, 4)) == []
+
+
+def test_separation(spark):
+    rows = [(i, "a" if i % 3 else "b", i * 7 % 50 * 1.0, i * 11 % 50 * 1.0, float(i * 13 % 29)) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, area string, x double, y double, score double")
+    want = []
+    for a in "ab":
+        taken = []
+        for r in sorted((r for r in rows if r[1] == a), key=lambda r: (-r[4], r[0])):
+            if len(taken) < 5 and all(math.hypot(r[2] - t[2], r[3] - t[3]) >= 12 for t in taken):
+                taken.append(r)
+        want += [(a, k + 1, r[0]) for k, r in enumerate(taken)]
+    got = [(r.area, r["rank"], r.id) for r in selection.separated(d, "area", 5, 12.0).collect()]
+    assert sorted(got) == sorted(want) and selection.share_count(200, 10, 5, 15) == 15
+    assert selection.separated(d.limit(0), "area", 5, 12.0).count() == 0

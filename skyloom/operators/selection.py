@@ -23,7 +23,7 @@ def separated(df: DataFrame, area: str, quota: int, apart: float, key: str = "id
     """Per area the best `score` first, each at least `apart` from those taken before it, `quota` at most; adds `rank` from 1.
 
     Ties go to the smaller key.  Rows come sorted and stream through; a task holds only what it has taken (`quota` per area),
-    so an area of any size is safe.
+    so an area of any size fits, but is read by one task.
     """
     schema = df.schema
     ordered = df.repartition(F.col(area)).sortWithinPartitions(F.col(area), F.col("score").desc(), F.col(key))

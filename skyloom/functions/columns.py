@@ -156,3 +156,62 @@ def duration_text(seconds: Column) -> Column:
 def ordered_case(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
     """First rule (pattern, class) that matches wins."""
     return F.coalesce(*[F.when(text.rlike(p), F.lit(c)) for p, c in rules], F.lit(otherwise))
+
+
+def prefix_risk(prefix: Column, risks: dict[str, float], base: float, layers: list[tuple[Column, float]], slowness: Column, threshold: float = 10.0) -> Column:
+    """Risk 0..1: the prefix's (else `base`) plus weighted layers; 1 at least where slowness is missing or reaches the threshold."""
+    known = F.create_map(*[F.lit(v) for kv in risks.items() for v in kv]) if risks else None
+    risk = F.coalesce(F.try_element_at(known, F.upper(prefix)), F.lit(base)) if risks else F.lit(base)
+    for layer, weight in layers:
+        risk = risk + F.coalesce(layer, F.lit(0.0)) * weight
+    blocked = F.coalesce(clean(slowness) >= threshold, F.lit(True))
+    return clip(F.when(blocked, F.greatest(risk, F.lit(1.0))).otherwise(risk), 0.0, 1.0)
+
+
+def multiplied_cost(slowness: Column, risk: Column, score: Column, travel: float = 1.0, risk_weight: float = 3.0, emergency_weight: float = 1.0, threshold: float = 10.0, floor: float = 1e-9, cap: float | None = None) -> Column:
+    """slowness * travel * (1 + rw * risk) * (1 + ew * (1 - score)); not below the slowness itself where that reaches the threshold; between floor and cap."""
+    s = F.coalesce(clean(slowness), F.lit(0.0))
+    cost = s * travel * (1 + risk_weight * risk) * (1 + emergency_weight * (1 - score))
+    cost = F.greatest(F.when(s >= threshold, F.greatest(cost, s)).otherwise(cost), F.lit(floor))
+    return cost if cap is None else F.least(cost, F.lit(cap))
+
+
+def attracted(slowness: Column, support: Column, weight: float, least: float, threshold: float) -> Column:
+    """Flyable slowness times 1 - weight * support, the factor not below `least`; blocked slowness unchanged."""
+    return F.when(slowness < threshold, slowness * F.greatest(1 - weight * support, F.lit(least))).otherwise(slowness)
+
+
+def repelled(slowness: Column, nearness: Column, weight: float, most: float, threshold: float) -> Column:
+    """Flyable slowness times 1 + weight * nearness, the factor not above `most`; blocked slowness unchanged."""
+    return F.when(slowness < threshold, slowness * F.least(1 + weight * nearness, F.lit(most))).otherwise(slowness)
+
+
+#: Weights of radio kinds; any other kind counts 0.5.
+RADIO = {"NR": 1.00, "LTE": 0.90, "UMTS": 0.60, "GSM": 0.45, "NBIOT": 0.35, "CDMA": 0.40}
+
+
+def radio_weight(kind: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in RADIO.items() for v in kv]), F.upper(kind)), F.lit(0.5))
+
+
+def signal_weight(dbm: Column) -> Column:
+    return F.coalesce(clip((dbm + 120) / 60, 0.05, 1.0), F.lit(0.5))
+
+
+def sample_weight(n: Column, most: Column) -> Column:
+    """log1p of a sample count over the greatest, 0.2 to 1."""
+    return clip(F.when(most > 0, F.log1p(n) / F.log1p(most)).otherwise(0.0), 0.2, 1.0)
+
+
+def weather_risk(df: DataFrame, to: str, wind_bad: float = 15.0, rain_bad: float = 10.0, visibility_good: float = 10_000.0, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
+    """`df` with a 0..1 risk from those of wind_speed_mps, rain_mm_h and visibility_m that it has; a weather_risk column wins.
+
+    A weather_risk whose values all lie in 0..1 is only clipped, another is normalised robustly; without any known column the risk is 0.
+    """
+    if "weather_risk" in df.columns:
+        lo, hi = df.agg(F.min(clean(F.col("weather_risk"))), F.max(clean(F.col("weather_risk")))).first()
+        if lo is None or (lo >= 0 and hi <= 1):
+            return df.withColumn(to, F.coalesce(clip(clean(F.col("weather_risk")), 0.0, 1.0), F.lit(0.0)))
+        return robust_norm(df, "weather_risk", to)
+    layers = {"wind_speed_mps": lambda c: c / wind_bad, "rain_mm_h": lambda c: c / rain_bad, "visibility_m": lambda c: 1 - clip(c / visibility_good, 0.0, 1.0)}
+    return df.withColumn(to, weighted_mean([(f(F.col(n)), w) for (n, f), w in zip(layers.items(), weights) if n in df.columns]))

@@ -138,20 +138,23 @@ def solve(pairs: DataFrame, edges: DataFrame, name: str, most_edges: int = 2_000
     return pairs.groupBy("start").applyInPandas(run, "pair_id long, success boolean, path_indices array<long>, total_cost double")
 
 
-def solve_on_plane(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, find: Callable, blocked: list[int] = (), most_edges: int = 2_000_000) -> DataFrame:
-    """Paths of (pair_id, start, goal) by a solver of search.py over edges (src, dst, cost) and nodes (node, x, y).
-
-    The graph is checked against `most_edges` and then broadcast; pairs are dealt one by one over the tasks.
-    """
+def _shared(edges: DataFrame, nodes: DataFrame, blocked: list[int], most_edges: int):
     from .search import Graph
 
-    sc = edges.sparkSession.sparkContext
     if edges.count() > most_edges or nodes.count() > most_edges:
         raise ValueError(f"over {most_edges} edges: use distances()")
     near: dict[int, list] = {}
     for r in edges.select("src", "dst", "cost").orderBy("src", "cost", "dst").toLocalIterator():
         near.setdefault(r["src"], []).append((r["dst"], r["cost"]))
-    shared = sc.broadcast(Graph(near, {r["node"]: (r["x"], r["y"]) for r in nodes.toLocalIterator()}, frozenset(blocked)))
+    return edges.sparkSession.sparkContext.broadcast(Graph(near, {r["node"]: (r["x"], r["y"]) for r in nodes.toLocalIterator()}, frozenset(blocked)))
+
+
+def solve_on_plane(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, find: Callable, blocked: list[int] = (), most_edges: int = 2_000_000) -> DataFrame:
+    """Paths of (pair_id, start, goal) by a solver of search.py over edges (src, dst, cost) and nodes (node, x, y).
+
+    The graph is checked against `most_edges` and then broadcast; pairs are dealt one by one over the tasks.
+    """
+    shared = _shared(edges, nodes, blocked, most_edges)
 
     def run(batches):
         for pdf in batches:
@@ -162,3 +165,15 @@ def solve_on_plane(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, find: C
             yield pd.DataFrame(out, columns=["pair_id", "success", "path_indices", "total_cost"])
 
     return pairs.repartition("pair_id").mapInPandas(run, "pair_id long, success boolean, path_indices array<long>, total_cost double")
+
+
+def solve_many(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, find: Callable, blocked: list[int] = (), most_edges: int = 2_000_000) -> DataFrame:
+    """As `solve_on_plane`, for solvers that give several named paths, [(name, path, cost)]: a row for each, in `place` from 1."""
+    shared = _shared(edges, nodes, blocked, most_edges)
+
+    def run(batches):
+        for pdf in batches:
+            out = [(r.pair_id, i, name, [int(x) for x in path], round(cost, 6)) for r in pdf.itertuples() for i, (name, path, cost) in enumerate(find(shared.value, r.start, r.goal), 1)]
+            yield pd.DataFrame(out, columns=["pair_id", "place", "name", "path_indices", "total_cost"])
+
+    return pairs.repartition("pair_id").mapInPandas(run, "pair_id long, place int, name string, path_indices array<long>, total_cost double")

@@ -65,3 +65,27 @@ def overlap_share(paths: DataFrame, locked: DataFrame, route: str, node: str) ->
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def cluster_sequence(df: DataFrame, route: str, seq: str, cluster: str) -> DataFrame:
+    """Per route the clusters it meets, ordered by their median place (cut to a whole number) and number: n_nodes, n_clusters, cluster_sequence, coverage_sequence.
+
+    Nodes without a cluster (null or negative) count only as nodes; coverage is a cluster's share of the route's nodes, to three digits.
+    """
+    total = df.groupBy(route).agg(F.count("*").alias("n_nodes"))
+    per = df.where(F.col(cluster) >= 0).groupBy(route, F.col(cluster).alias("__c")).agg(F.floor(F.percentile(seq, 0.5)).alias("__m"), F.count("*").alias("__k"))
+    share = F.concat(F.col("__c").cast("string"), F.lit(":"), F.format_string("%.3f", F.col("__k") / F.col("n_nodes")))
+    one = per.join(total, route).groupBy(route).agg(F.sort_array(F.collect_list(F.struct("__m", "__c", share.alias("__s")))).alias("__l"))
+    text = lambda f: F.coalesce(F.array_join(F.transform("__l", f), ";"), F.lit(""))
+    return total.join(one, route, "left").select(route, "n_nodes", F.greatest(F.coalesce(F.size("__l"), F.lit(0)), F.lit(0)).alias("n_clusters"),
+                                                 text(lambda s: s["__c"].cast("string")).alias("cluster_sequence"), text(lambda s: s["__s"]).alias("coverage_sequence"))
+
+
+def simplified(df: DataFrame, route: str, order: list[str], x: Column, y: Column, least: float = 1.0) -> DataFrame:
+    """`df` without the inner nodes at which the route turns by `least` degrees or less; ends and nodes that repeat their neighbour's place stay."""
+    w = Window.partitionBy(route).orderBy(*order)
+    d = df.withColumns({"__a": F.atan2(y - F.lag(y).over(w), x - F.lag(x).over(w)), "__b": F.atan2(F.lead(y).over(w) - y, F.lead(x).over(w) - x),
+                        "__still": F.coalesce((x == F.lag(x).over(w)) & (y == F.lag(y).over(w)), F.lit(False)) | F.coalesce((x == F.lead(x).over(w)) & (y == F.lead(y).over(w)), F.lit(False))})
+    raw = F.abs(F.degrees(F.col("__b") - F.col("__a"))) % 360
+    turn = F.when(raw > 180, 360 - raw).otherwise(raw)
+    return d.where(turn.isNull() | F.col("__still") | (turn > least)).drop("__a", "__b", "__still")

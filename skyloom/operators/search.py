@@ -236,3 +236,108 @@ def descended(times: np.ndarray, goal: tuple[int, int]) -> list[tuple[int, int]]
             return []
         path.append(cell)
     return path[::-1]
+
+
+def turning(g: Graph, start: int, goal: int, per_turn: float = 0.0, buckets: int = 8, shut: frozenset[Edge] = frozenset()) -> tuple[list[int], float]:
+    """Cheapest path when each change of direction bucket costs `per_turn`; states are (node, bucket), so a dearer arrival may win by its direction.
+
+    `shut` holds edges no path may use.  A start that is the goal is a path of one node and no cost.
+    """
+    if start in g.blocked or goal in g.blocked:
+        return [], math.inf
+
+    def bucket(a: int, b: int) -> int:
+        if a not in g.at or b not in g.at:
+            return -1
+        (ax, ay), (bx, by) = g.at[a], g.at[b]
+        return int((math.degrees(math.atan2(by - ay, bx - ax)) % 360) / 360 * buckets + 0.5) % buckets
+
+    first = (start, -2)
+    best, back, done, n = {first: 0.0}, {}, set(), 0
+    queue = [(0.0, 0, first)]
+    while queue:
+        _, _, state = heapq.heappop(queue)
+        if state in done:
+            continue
+        done.add(state)
+        u, way = state
+        if u == goal:
+            path = [state]
+            while path[-1] != first:
+                path.append(back[path[-1]])
+            return [v for v, _ in path[::-1]], best[state]
+        for v, c in g.near.get(u, ()):
+            if v in g.blocked or (u, v) in shut:
+                continue
+            new = (v, bucket(u, v))
+            cost = best[state] + c + (per_turn if way != -2 and new[1] != way else 0.0)
+            if new not in done and cost < best.get(new, math.inf):
+                best[new], back[new], n = cost, state, n + 1
+                heapq.heappush(queue, (cost, n, new))
+    return [], math.inf
+
+
+def alternatives(g: Graph, start: int, goal: int, k: int, per_turn: float = 0.0, buckets: int = 8) -> list[tuple[list[int], float]]:
+    """Up to k different paths by cost, then nodes, then sequence: each found path is searched again without one of its edges at a time."""
+    path, cost = turning(g, start, goal, per_turn, buckets)
+    heap = [(cost, len(path), path, frozenset())] if path else []
+    out: list[tuple[list[int], float]] = []
+    seen: set[tuple] = set()
+    while heap and len(out) < k:
+        cost, _, path, shut = heapq.heappop(heap)
+        if tuple(path) in seen:
+            continue
+        seen.add(tuple(path))
+        out.append((path, cost))
+        for edge in zip(path, path[1:]):
+            more = shut | {edge}
+            other, price = turning(g, start, goal, per_turn, buckets, more)
+            if other and tuple(other) not in seen:
+                heapq.heappush(heap, (price, len(other), other, more))
+    return out
+
+
+def lanes(g: Graph, start: int, goal: int, backups: int = 1, factor: float = 50.0) -> list[tuple[str, list[int], float]]:
+    """Lanes of an undirected pair in the order forward main, forward backups, backward main, backward backups.
+
+    Inner nodes of earlier lanes are locked: a lane first avoids them, and only if no such path exists may use them at `factor` times the cost.
+    """
+    locked: set[int] = set()
+    out = []
+    for way, a, b in (("forward", start, goal), ("backward", goal, start)):
+        for kind in ["main"] + [f"backup_{i + 1:02d}" for i in range(backups)]:
+            path, cost = astar(g, a, b, shut=frozenset(locked))
+            if not path or (len(path) == 2 and any(p in (path, path[::-1]) for _, p, _ in out)):
+                dear = {(u, v): factor for u, vs in g.near.items() for v, _ in vs if u in locked or v in locked}
+                path, cost = astar(g, a, b, dear)
+            if not path:
+                continue
+            out.append((f"{way}_{kind}", path, cost))
+            locked |= set(path[1:-1])
+    return out
+
+
+def smooth_route(cost_at, start: tuple[float, float], goal: tuple[float, float], middles: int = 4, spread: float = 0.5, samples: int = 40, seed: int = 42, **how) -> tuple[np.ndarray, float]:
+    """A line of start, `middles` free points and goal that a swarm optimises: its length times the mean of `cost_at` along it, plus its turns in radians.
+
+    `cost_at` takes arrays x, y.  Free points stay within `spread` of the distance from the straight line's points.
+    """
+    a, b = np.array(start, float), np.array(goal, float)
+    base = a + np.linspace(0, 1, middles + 2)[1:-1, None] * (b - a)
+    reach = spread * max(float(np.hypot(*(b - a))), 1e-9)
+
+    def line(v: np.ndarray) -> np.ndarray:
+        return np.vstack([a, v.reshape(-1, 2), b])
+
+    def loss(v: np.ndarray) -> float:
+        p = line(v)
+        d = np.diff(p, axis=0)
+        length = np.hypot(d[:, 0], d[:, 1])
+        t = np.linspace(0, 1, samples)
+        xy = (p[:-1, None] + t[None, :, None] * d[:, None]).reshape(-1, 2)
+        mean = cost_at(xy[:, 0], xy[:, 1]).reshape(len(d), samples).mean(axis=1)
+        turn = np.diff(np.arctan2(d[:, 1], d[:, 0]))
+        return float((length * mean).sum() + np.abs((turn + np.pi) % (2 * np.pi) - np.pi).sum())
+
+    found, value = swarm(loss, (base - reach).ravel(), (base + reach).ravel(), seed=seed, **how)
+    return line(found), value

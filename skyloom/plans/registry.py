@@ -145,10 +145,10 @@ def nearest_site(spark, sf_dir):
     return spatial.nearest(p, p.where("label = 3").withColumnRenamed("id", "site"), 80.0).withColumn("dist", F.round("dist", 6))
 
 
-@query(f"""WITH {POINTS} SELECT p.id, count(DISTINCT r.label) AS routes_near FROM points p JOIN points r ON p.id % 5 = 0 AND sqrt(pow(p.x-r.x,2)+pow(p.y-r.y,2)) <= 40 GROUP BY p.id""")
+@query(f"""WITH {POINTS} SELECT p.id, count(DISTINCT r.label) AS routes_near FROM points p JOIN points r ON sqrt(pow(p.x-r.x,2)+pow(p.y-r.y,2)) <= 40 GROUP BY p.id""")
 def radius_distinct_routes(spark, sf_dir):
     p = points(spark, sf_dir)
-    j = spatial.radius_join(p.where("id % 5 = 0").select("id", "x", "y"), p.select("label", F.col("x").alias("rx"), F.col("y").alias("ry")), 40.0)
+    j = spatial.radius_join(p.select("id", "x", "y"), p.select("label", F.col("x").alias("rx"), F.col("y").alias("ry")), 40.0)
     return j.groupBy("id").agg(F.count_distinct("label").alias("routes_near"))
 
 
@@ -329,12 +329,12 @@ def pivot_matrix(spark, sf_dir):
     return r.groupBy("ship_year").pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity")).fillna(0.0)
 
 
-_NATIONS = """e AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST((c_custkey * 7) % 25 AS BIGINT) AS dst FROM customer WHERE c_custkey % 11 = 0 AND c_nationkey <> (c_custkey * 7) % 25)"""
+_NATIONS = """e AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST((c_nationkey + 1 + c_custkey % 4 * 5) % 25 AS BIGINT) AS dst FROM customer)"""
 
 
 def _nation_edges(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 11 = 0")
-    return c.select(F.col("c_nationkey").cast("long").alias("src"), (F.col("c_custkey") * 7 % 25).cast("long").alias("dst")).where("src <> dst").distinct()
+    c = table(spark, sf, "customer")
+    return c.select(F.col("c_nationkey").cast("long").alias("src"), ((F.col("c_nationkey") + 1 + F.col("c_custkey") % 4 * 5) % 25).cast("long").alias("dst")).distinct()
 
 
 @query(f"""WITH RECURSIVE {_NATIONS}, r(node, hops) AS (SELECT (SELECT min(src) FROM e), 0 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON e.src = r.node WHERE hops < 24) SELECT CAST(node AS BIGINT) AS node, CAST(min(hops) AS INT) AS hops FROM r GROUP BY node""")
@@ -460,3 +460,6 @@ def coarse_blocks(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     block = lambda c: F.floor(F.col(c) % 40 / 4).cast("long")
     return l.groupBy(block("l_partkey").alias("bx"), block("l_suppkey").alias("by")).agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("n_burned"))
+
+
+from . import layers  # noqa: E402,F401  (registers its queries)

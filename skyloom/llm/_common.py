@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,6 +26,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches to Python workers hold at most `most` bytes: whole texts make batches of the default size large, in the JVM's
+    direct buffers and in the workers.  A session that asks for less keeps its own setting."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
+    now = int(number) << 10 * " kmgtp".index(unit or " ")
+    if not 0 < now <= most:
+        spark.conf.set(key, f"{most}b")
+
+
 def running_totals(values: Column, block: int = 64) -> Column:
     """Inclusive running totals of a non-empty array<int>, block by block, so long arrays stay cheap."""
     zero = F.lit(0).cast("long")

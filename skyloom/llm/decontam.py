@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import small_batches
+
 K1, B = 1.2, 0.75
 #: Least normalised BM25 score of a passage, least part of an item's shingles in the text around it, words per shingle.
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
@@ -163,6 +165,7 @@ FOUND = "array<struct<item_id:bigint,score:double,overlap:double>>"
 def matches(text: Column, docs: DataFrame, indexes: list[Index]) -> Column:
     """Verified items of each text as array<struct<item_id, score, overlap>>; null and empty texts have none."""
     spark = docs.sparkSession
+    small_batches(spark)
 
     def one(index: Index) -> Column:
         shared = spark.sparkContext.broadcast(index)  # bounded: `limit` items

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import small_batches
+
 #: Bounds of the training sample: trusted positives, unlabelled documents (all text of each).
 POSITIVES, UNLABELLED = 3000, 6000
 THRESHOLD = 0.7
@@ -121,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     The prior is the labelled positives' part of all labelled rows, smoothed, which holds if rows were labelled
     at random; ids with contradicting labels count as negative.  The samples are chosen by a hash of doc_id.
     """
+    small_batches(docs.sparkSession)
     trusted = labels.where(fold(F.col("doc_id"), 4) != 2).where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = trusted.agg(F.count("*"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0))).first()
     prior = ((n[1] or 0) + 1) / (n[0] + 2)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, materialise
+from ._common import connected_components, materialise, small_batches
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Blocks of the 64 bits; links agree on BLOCKS - RADIUS of them, about 21 bits for 6 blocks.
@@ -50,6 +50,8 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id and `fp`, the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))

@@ -10,7 +10,7 @@ near copies linear and emits a spanning forest instead of all pairs.  Copies are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -159,12 +159,14 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     return n.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """`docs` with one document of each near-duplicate group, that of the least doc_id; columns unchanged.
 
+    `groups` gives doc_id and component_id.  The default is op10's contract; the pipeline asks for resemblance.near_duplicates.
+
     Documents without an id can't be named by a group and stay.  Rows that repeat the id that stays go, but for one.
     """
-    n = near_duplicates(docs.select("doc_id", "text"))
+    n = groups(docs.select("doc_id", "text"))
     best = n.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
     best = materialise(best, "kept")
     kept = docs.where("doc_id IS NOT NULL").join(best.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import tempfile
 from collections.abc import Callable
+from itertools import count as naturals
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,17 +20,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hops(edges: DataFrame, source: int, most: int = 64) -> DataFrame:
-    """Breadth-first levels from `source` over directed (src, dst): node, hops."""
+def hops(edges: DataFrame, source: int) -> DataFrame:
+    """Breadth-first levels from `source` over directed (src, dst), until one has no new node: node, hops."""
     seen = cut(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0).alias("hops")))
     front = seen
-    for k in range(1, most + 1):
+    for k in naturals(1):
         new = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         new = cut(new.select("node", F.lit(k).alias("hops")))
         if not new.limit(1).count():
-            break
+            return seen
         seen, front = cut(seen.unionByName(new)), new
-    return seen
 
 
 def distances(edges: DataFrame, source: int, most: int = 500) -> DataFrame:

@@ -152,3 +152,8 @@ def test_separation(spark):
     got = [(r.area, r["rank"], r.id) for r in selection.separated(d, "area", 5, 12.0).collect()]
     assert sorted(got) == sorted(want) and selection.share_count(200, 10, 5, 15) == 15
     assert selection.separated(d.limit(0), "area", 5, 12.0).count() == 0
+
+
+def test_hops_reach_the_end_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(70)] + [(70, 0)], "src long, dst long")
+    assert {(r.node, r.hops) for r in graph.hops(edges, 0).collect()} == {(k, k) for k in range(71)}

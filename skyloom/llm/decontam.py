@@ -3,6 +3,7 @@
 The inverted index holds test items.  Weights of an item are divided by its own score, so that a passage with
 all its words scores 1 and one threshold serves all items.  Postings come in blocks of consecutive items with their
 greatest weight; a passage meets only blocks whose maxima can reach the threshold, and WAND skips inside them.
+Items of fewer words than a shingle must occur whole, as a run of words.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Index:
     """Block-max inverted index of items (id, words, answer words) under given corpus statistics."""
 
     def __init__(self, items: list[tuple], df: dict[str, int], n_items: int, mean_length: float) -> None:
-        self.items = [(i, shingles(w), answer) for i, w, answer in items]
+        self.items = [(i, shingles(w), answer, w if len(w) < SHINGLE else []) for i, w, answer in items]
         self.longest = max((len(w) for _, w, _ in items), default=1) or 1
         self.per_block = max(8, ceil(len(items) / BLOCKS))
         self.n_blocks = max(1, ceil(len(items) / self.per_block))
@@ -121,8 +122,8 @@ class Index:
             terms = set(ids[k * step:(k + 2) * step].tolist()) - {none}
             for item, score in self.wand(terms, block, threshold):
                 around = words[max(0, (k - 1) * step):(k + 3) * step]
-                _, wanted, answer = self.items[item]
-                share = len(wanted & shingles(around)) / len(wanted)
+                _, wanted, answer, short = self.items[item]
+                share = float(_holds(around, short)) if short else len(wanted & shingles(around)) / len(wanted)
                 if share >= overlap and (not answer or _holds(around, answer)):
                     old = out.get(item, (0.0, 0.0))
                     out[item] = (max(old[0], score), max(old[1], share))

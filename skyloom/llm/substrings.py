@@ -194,6 +194,8 @@ def repeated_windows(blocks: list[bytes], window: int) -> np.ndarray:
             hashes.append(h)
             where.append(np.stack((np.full(len(i), p), line[i], i - first[line[i]], starts[i], ends[i + window - 1])).astype(np.int32))
         h, at = np.concatenate(hashes), np.concatenate(where, axis=1)
+        if not len(h):
+            continue
         order = np.argsort(h, kind="stable")
         twin = h[order][1:] == h[order][:-1]
         order = order[np.concatenate((twin, [False])) | np.concatenate(([False], twin))]

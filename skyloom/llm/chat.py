@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import running_totals
+from ._common import pieces, running_totals, spare
 
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -94,17 +94,20 @@ def unescaped(text: Column) -> Column:
 
 def formatted(records: DataFrame, turns: str = "__turns", trained: str = "assistant") -> DataFrame:
     """`records` plus `__formatted`, the template's output, and `__loss`, array<struct<start, end>> in code
-    points: where the escaped texts of the `trained` role stand.  No turns: empty output and mask."""
+    points: where the escaped texts of the `trained` role stand.  No turns: empty output and mask.
+
+    Columns of those two names are replaced; all others stay.
+    """
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    heads = F.transform(turns, lambda t: F.concat(F.lit(START), escaped(t["role"]), F.lit(SEP)))
-    bodies = F.transform(turns, lambda t: F.concat(escaped(t["text"]), F.lit(END)))
-    d = records.withColumns({"__heads": heads, "__bodies": bodies, "__on": F.transform(turns, lambda t: t["role"] == trained)})
-    sizes = F.zip_with("__heads", "__bodies", lambda a, b: (F.length(a) + F.length(b)).cast("long"))
-    ends = F.zip_with(running_totals(sizes), "__bodies", lambda e, b: F.struct((e - F.length(b)).alias("start"), (e - len(END)).alias("end")))
-    d = d.withColumn("__spans", F.when(F.size("__heads") > 0, ends).otherwise(none))
-    loss = F.filter(F.zip_with("__spans", "__on", lambda s, on: F.when(on, s)), lambda s: s.isNotNull())
-    text = F.array_join(F.zip_with("__heads", "__bodies", lambda a, b: F.concat(a, b)), "")
-    return d.withColumns({"__formatted": F.coalesce(text, F.lit("")), "__loss": F.coalesce(loss, none)}).drop("__heads", "__bodies", "__on", "__spans")
+    parts, places = spare(records, 2)
+    made = F.transform(turns, lambda t: F.struct(F.concat(F.lit(START), escaped(t["role"]), F.lit(SEP)).alias("head"), F.concat(escaped(t["text"]), F.lit(END)).alias("body"), (t["role"] == trained).alias("on")))
+    d = records.withColumn(parts, made)
+    sizes = F.transform(parts, lambda p: (F.length(p["head"]) + F.length(p["body"])).cast("long"))
+    ends = F.zip_with(running_totals(sizes), parts, lambda e, p: F.struct((e - F.length(p["body"])).alias("start"), (e - len(END)).alias("end"), p["on"].alias("on")))
+    d = d.withColumn(places, F.when(F.size(parts) > 0, ends))
+    loss = F.transform(F.filter(places, lambda s: s["on"]), lambda s: F.struct(s["start"], s["end"]))
+    text = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["body"])), "")
+    return d.withColumns({"__formatted": F.coalesce(text, F.lit("")), "__loss": F.coalesce(loss, none)}).drop(parts, places)
 
 
 def read_back(output: Column) -> Column:
@@ -118,7 +121,7 @@ def read_back(output: Column) -> Column:
 
 def masked(output: Column, spans: Column) -> Column:
     """All text under the mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(output.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    return F.array_join(F.transform(pieces(output, spans), unescaped), "")
 
 
 def conversations_as_records(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import running_totals
+from ._common import bound, pieces, quoted, running, running_totals
 
 #: Kinds in listed order, with their patterns.  The lower bounds inside `access` and `hex`
 #: select the same matches as an unbounded pattern with short matches dropped, as both are maximal runs.
@@ -87,50 +87,68 @@ def token_ratio(token: Column, table: Column) -> Column:
     return F.aggregate(F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: F.element_at(table, (a * k + b + 1).cast("int"))), F.lit(0), lambda x, y: x + y)
 
 
-_NONE = "array<struct<start:bigint,end:bigint,kind:int,match:string>>"
+_SPANS = "array<struct<start:bigint,kind:int,end:bigint,match:string>>"
 
 
-def _found(text: Column, pattern: str, among: Column | None = None) -> Column:
-    """All matches, leftmost first."""
-    m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    m = m if among is None else F.when(among, m).otherwise(F.array().cast("array<string>"))
-    return m
+def _spans(text: Column, pattern: str, kind: int, among: Column | None = None) -> Column:
+    """All matches, leftmost first, with their places in code points, from the lengths of what lies between them.  Matches stay in
+    the array for as long as a later step reads them."""
+    none = F.array().cast(_SPANS)
 
+    def made(matches: Column) -> Column:
+        between = F.split(text, pattern, -1)
+        sizes = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda a, b: (F.length(a) + F.length(b)).cast("long"))
+        return F.zip_with(running_totals(sizes), matches, lambda e, t: F.struct((e - F.length(t)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), t.alias("match")))
 
-def _spans(text: Column, matches: Column, pattern: str, kind: int) -> Column:
-    """Places of the matches in code points, from the lengths of what lies between them."""
-    between = F.split(text, pattern, -1)
-    sizes = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda a, b: (F.length(a) + F.length(b)).cast("long"))
-    made = F.zip_with(running_totals(sizes), matches, lambda e, t: F.struct((e - F.length(t)).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), t.alias("match")))
-    return F.when(F.size(matches) > 0, made).otherwise(F.array().cast(_NONE))
+    found = bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, made(m)).otherwise(none))
+    return found if among is None else F.when(among, found).otherwise(none)
 
 
-def scan(docs: DataFrame, table: list[int], text: str = "text", least_total: int = LEAST_TOTAL, least_mean: int = LEAST_MEAN) -> DataFrame:
-    """`docs` with one more column `__spans`: array<struct<start, end, kind, match>>, sorted by start then kind.
+def _count_below(sorted_: Column, value: Column) -> Column:
+    """How many of an ascending array<long> are less than `value`, by bisection."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(sorted_).alias("hi"))
 
-    kind indexes KINDS.  A Markov span is a token of 20 or more characters that touches no base span.
-    Null text: no spans.  Repeated rows each get their spans; other columns pass through untouched.
-    """
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        less = F.get(sorted_, mid) < value
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(less, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(less, s["hi"]).otherwise(mid).alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, step, lambda s: s["lo"])
+
+
+def _scanned(text: Column, table: list[int], least_total: int, least_mean: int) -> Column:
+    """All spans of a text, sorted by start then kind."""
     model = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-    t = F.coalesce(F.col("__text"), F.lit(""))
-    d = docs.withColumn("__text", F.col(text))
-    d = d.withColumns({"__m0": _found(t, ASSIGN, t.rlike("[:=]")), "__m1": _found(t, ACCESS, F.contains(t, F.lit("AKIA"))), "__m2": _found(t, HEX), "__m3": _found(t, TOKEN)})
-    d = d.withColumns({f"__s{i}": _spans(t, F.col(f"__m{i}"), p, i) for i, p in enumerate((ASSIGN, ACCESS, HEX, TOKEN))})
-    assign = F.filter("__s0", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 12)
-    d = d.withColumn("__base", F.concat(assign, F.col("__s1"), F.col("__s2")))
-    apart = F.filter("__s3", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-
-    def random(s: Column) -> Column:
-        total = token_ratio(s["match"], model)
+
+    def random(s: Column, m: Column) -> Column:
+        total = token_ratio(s["match"], m)
         return (total >= least_total) & (total >= least_mean * (s["end"] - s["start"] - 1))
 
-    d = d.withColumn("__spans", F.array_sort(F.concat("__base", F.filter(apart, random)), _by_place))
-    return d.drop("__text", "__base", *[f"__{x}{i}" for x in "ms" for i in range(4)])
+    def added(t: Column, base: Column, assigned: Column) -> Column:
+        # an access or hex span lies inside one token; assigned spans are apart and ascending, so those that end
+        # after a token's start and those that start before its end are counted by bisection
+        def of(ends: Column, starts: Column) -> Column:
+            apart = lambda s: F.when(F.size(ends) == 0, True).otherwise(_count_below(ends, s["start"] + 1) >= _count_below(starts, s["end"]))
+            return bound(model, lambda m: F.filter(_spans(t, TOKEN, 3), lambda s: ~s["match"].rlike(HEX) & ~s["match"].rlike(ACCESS) & apart(s) & random(s, m)))
+
+        place = lambda c: F.transform(assigned, lambda s: s[c])
+        return F.sort_array(F.concat(base, bound(place("end"), lambda e: bound(place("start"), lambda b: of(e, b)))))
 
+    def whole(t: Column) -> Column:
+        assign = F.filter(_spans(t, ASSIGN, 0, t.rlike("[:=]")), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 12)
+        return bound(assign, lambda a: added(t, F.concat(a, _spans(t, ACCESS, 1, F.contains(t, F.lit("AKIA"))), _spans(t, HEX, 2)), a))
 
-def _by_place(a: Column, b: Column) -> Column:
-    key = lambda s: F.struct(s["start"], s["kind"])
-    return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
+    return bound(F.coalesce(text, F.lit("")), whole)
+
+
+def scan(docs: DataFrame, table: list[int], text: str = "text", least_total: int = LEAST_TOTAL, least_mean: int = LEAST_MEAN) -> DataFrame:
+    """(`row`, `spans`): each row of `docs` as a struct, and array<struct<start, kind, end, match>> sorted by start then kind.
+
+    kind indexes KINDS.  A Markov span is a token of 20 or more characters that touches no base span.
+    Null text: no spans.  Repeated rows each get their spans.  Work takes time in proportion to the text, however many spans it has.
+    """
+    d = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
+    return d.withColumn("spans", _scanned(F.col("row")[text], table, least_total, least_mean))
 
 
 def written(spans: Column) -> Column:
@@ -141,23 +159,34 @@ def written(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span replaced; overlapping spans fall under one mark."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(text.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-    end = F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), text.substr((a["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, end).otherwise(text)
+    def gaps(ss: Column, reach: Column, t: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(reach, i - 1))
+        gap = F.transform(ss, lambda s, i: F.struct(before(i).alias("start"), s["start"].alias("end")))
+        rest = F.array(F.struct(F.element_at(reach, -1).alias("start"), F.length(t).cast("long").alias("end")))
+        kept = bound(F.concat(gap, rest), lambda g: pieces(t, g))
+        # a span that starts inside what an earlier one covers has start > end here and no mark of its own
+        first = F.transform(ss, lambda s, i: F.when((i == 0) | (s["start"] >= before(i)), mark).otherwise(""))
+        return F.array_join(F.zip_with(kept, first, lambda k, m: F.concat(k, F.coalesce(m, F.lit("")))), "")
+
+    def of(t: Column) -> Column:
+        return bound(spans, lambda ss: F.when(F.size(ss) == 0, t).otherwise(
+            bound(running(F.transform(ss, lambda s: s["end"]), lambda x, y: F.greatest(x, y)), lambda reach: gaps(ss, reach, t))))
+
+    return F.when(text.isNotNull(), bound(text, of))
 
 
 def secret_digest(docs: DataFrame, table: list[int] | None = None) -> DataFrame:
     """Contract columns of the secret scan, one row per document row (repeated rows repeat; null text is empty)."""
     table = train(samples(docs.sparkSession)) if table is None else table
     s = scan(docs.select("doc_id", "text"), table)
-    base = F.filter("__spans", lambda x: x["kind"] < 3)
-    n = lambda k: F.size(F.filter("__spans", lambda x: x["kind"] == k)).cast("long")
-    return s.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), n(3).alias("n_markov"),
-                    F.sha2(F.encode(written(base), "utf-8"), 256).alias("base_sha256"), written(F.col("__spans")).alias("spans"))
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+    n = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    return s.select("row.doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), n(3).alias("n_markov"),
+                    F.sha2(F.encode(written(base), "utf-8"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, table: list[int] | None = None) -> DataFrame:
-    """`docs` with secrets masked in `text`; all rows and columns stay, null texts stay null."""
+    """`docs` with secrets masked in `text`; all rows and columns stay whatever their names, null texts stay null."""
     table = train(samples(docs.sparkSession)) if table is None else table
-    return scan(docs, table).withColumn("text", redacted(F.col("text"), F.col("__spans"))).select(*docs.columns)
+    clean = redacted(F.col("row.text"), F.col("spans"))
+    return scan(docs, table).select(*[(clean if c == "text" else F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, materialise, small_batches
+from ._common import connected_components, materialise, quoted, small_batches, text_key
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Blocks of the 64 bits; links agree on BLOCKS - RADIUS of them, about 21 bits for 6 blocks.
@@ -49,14 +49,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id and `fp`, the fingerprint as a signed long."""
+    """doc_id, `h` (text_key) and `fp`, the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    return docs.select("doc_id", of(F.col("text")).alias("fp"))
+    return docs.select("doc_id", text_key(F.col("text")).alias("h"), of(F.col("text")).alias("fp"))
 
 
 def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -138,8 +138,9 @@ def links(fps: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS) -> DataFra
     return sorted_.mapInPandas(search, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document row; component_id is the least doc_id reachable.
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, fp, group, component_id): one row per document row of (doc_id, text); `h` is text_key, `group` a number that
+    linked rows share, component_id the least doc_id reachable.
 
     Null or empty texts have fingerprint zero and are linked like any other; rows repeating a doc_id are
     documents of their own; null ids take the component's least id (null if it has none).
@@ -150,8 +151,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = materialise(known, "roots")
     groups = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(groups, "root").select(F.col("fp").alias("k"), "component_id")
-    return d.join(named, d["fp"] == named["k"]).select("doc_id", "fp", "component_id")
+    named = known.join(groups, "root").select(F.col("fp").alias("k"), F.col("root").alias("group"), "component_id")
+    return d.join(named, d["fp"] == named["k"]).select("doc_id", "h", "fp", "group", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id): see `grouped`."""
+    return grouped(docs).select("doc_id", "fp", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -159,17 +165,24 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     return n.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """`docs` with one document of each near-duplicate group, that of the least doc_id; columns unchanged.
-
-    `groups` gives doc_id and component_id.  The default is op10's contract; the pipeline asks for resemblance.near_duplicates.
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = grouped) -> DataFrame:
+    """`docs` with one row of each near-duplicate group; columns unchanged.
 
-    Documents without an id can't be named by a group and stay.  Rows that repeat the id that stays go, but for one.
+    `groups` gives doc_id, h (text_key) and group of (doc_id, text).  The default is op10's contract; the pipeline asks for
+    resemblance.near_duplicates.  The row that stays has the group's least doc_id, then the least text key; of rows that
+    repeat both, the least hash of their other columns (map columns left out), and of equal rows any.  So an id that several texts
+    share loses only the texts that another document repeats.  Rows without an id are groups of their own: no document with an
+    id stands for them, and one row of each of their groups stays.
     """
-    n = groups(docs.select("doc_id", "text"))
-    best = n.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    best = materialise(best, "kept")
-    kept = docs.where("doc_id IS NOT NULL").join(best.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if best.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    key = ("missing", "doc_id", "h")
+    place = F.struct(F.isnull("doc_id").alias("missing"), "doc_id", "h")
+    n = groups(docs.select("doc_id", "text")).withColumn("at", place).groupBy("group", "at").agg(F.count("*").alias("n"))
+    best = materialise(n.groupBy("group", "at.missing").agg(F.min(F.struct("at", "n")).alias("best")).select("best.at.*", "best.n"), "kept")
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.isnull("doc_id").alias("missing"), F.col("doc_id"), text_key(F.col("text")).alias("h"))
+    same = [rows["missing"] == best["missing"], rows["doc_id"].eqNullSafe(best["doc_id"]), rows["h"] == best["h"]]
+    kept = rows.join(best.hint("merge"), same[0] & same[1] & same[2]).select("row", *[rows[c] for c in key], "n")
+    if not best.where("n > 1").limit(1).count():
+        return kept.select("row.*")
+    plain = [f"row.{quoted(f.name)}" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    repeated = kept.where("n > 1").groupBy(*key).agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return kept.where("n = 1").select("row.*").unionByName(repeated.select("row.*"))

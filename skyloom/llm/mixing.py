@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, quoted
 
 #: Bisection steps; sources beyond MAX_SOURCES raise, since weights are worked out in one row.
 STEPS, MAX_SOURCES = 60, 1_000_000
@@ -74,52 +74,65 @@ def weights(counts: DataFrame, entropy: float | None = 0.95, repeats: float | No
     return d.select("s.source", "s.n_docs", "s.tokens", share.alias("share"), "exponent", weight.alias("weight"), F.round(weight * F.col("to_take")).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, entropy: float | None = 0.95, repeats: float | None = None, budget: int | None = None, block_tokens: int = 200_000,
-        seed: int = 17, bucket_docs: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(picks, weights).  picks: one row per document taken and epoch: doc_id, source, n_tokens, epoch, block, place.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """A written copy of `docs` as (`row`, `number`, doc_id, source, n_tokens, `key`); number is one row's own."""
+    d = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number"), "doc_id",
+                    F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("key"))
+    return materialise(d, "mix-docs")
 
-    An epoch orders a source's documents by a seeded hash; `place` is the tokens its source has spent before it,
-    and `block` the block whose due part of the budget that falls in.  A document is taken while its place is below
-    the budget, so a source overshoots by less than one document; documents without tokens are taken
-    whenever their place comes.  Places come from per-bucket sums (a bucket holds about `bucket_docs`
-    documents of one source by hash range), so a source of any size is spread over many tasks.
-    Null ids and repeated rows are ordinary documents; ties in the hash go by doc_id.
-    """
-    slim = materialise(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("n_tokens")), "mix-docs")
+
+def _picked(slim: DataFrame, entropy: float | None, repeats: float | None, budget: int | None, block_tokens: int, seed: int, bucket_docs: int) -> tuple[DataFrame, DataFrame]:
     counts = slim.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
     w = materialise(weights(counts, entropy, repeats, budget), "mix-weights")
     plan = w.where("budget > 0").select(F.col("source").alias("w_source"), "tokens", "budget", "weight", F.ceil(F.col("budget") / F.col("tokens")).cast("int").alias("epochs"),
                                         F.greatest(F.lit(1), F.ceil(F.col("n_docs") / bucket_docs)).cast("long").alias("buckets"))
     due = slim.join(F.broadcast(plan), slim["source"].eqNullSafe(plan["w_source"])).drop("w_source")  # bounded: MAX_SOURCES short rows
     each = due.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-    each = each.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "epoch", "doc_id", "n_tokens"), 1))
+    # rows without an id may be many and alike, so their own numbers deal them
+    each = each.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "epoch", "doc_id", "n_tokens", "key", F.when(F.isnull("doc_id"), F.col("number"))), 1))
     each = each.withColumn("bucket", F.least(F.col("buckets") - 1, F.floor(F.col("h") / F.lit(float(2**63)) * F.col("buckets")).cast("long")))
     sums = each.groupBy("source", "epoch", "bucket").agg(F.sum("n_tokens").alias("held"))
     # one row per some thousand documents and epoch; the running sum per source and epoch goes over those alone
     before = "sum(held) OVER (PARTITION BY source, epoch ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     base = sums.select(F.col("source").alias("b_source"), F.col("epoch").alias("b_epoch"), F.col("bucket").alias("b_bucket"), F.expr(f"coalesce({before}, 0)").alias("before"))
-    inside = "sum(n_tokens) OVER (PARTITION BY source, epoch, bucket ORDER BY h, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    inside = "sum(n_tokens) OVER (PARTITION BY source, epoch, bucket ORDER BY h, doc_id, n_tokens, key, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     placed = each.withColumn("inside", F.expr(f"coalesce({inside}, 0)"))
     placed = placed.join(base, placed["source"].eqNullSafe(base["b_source"]) & (placed["epoch"] == base["b_epoch"]) & (placed["bucket"] == base["b_bucket"]))
     placed = placed.withColumn("place", F.col("epoch") * F.col("tokens") + F.col("before") + F.col("inside")).where("place < budget")
     block = F.floor(F.col("place") / (F.col("weight") * block_tokens)).cast("long")
-    return placed.select("doc_id", "source", "n_tokens", "epoch", block.alias("block"), "place"), w
+    return placed.select("number", "doc_id", "source", "n_tokens", "epoch", block.alias("block"), "place"), w
+
+
+def mix(docs: DataFrame, entropy: float | None = 0.95, repeats: float | None = None, budget: int | None = None, block_tokens: int = 200_000,
+        seed: int = 17, bucket_docs: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(picks, weights).  picks: one row per document taken and epoch: doc_id, source, n_tokens, epoch, block, place.
+
+    An epoch orders a source's documents by a seeded hash; `place` is the tokens its source has spent before it,
+    and `block` the block whose due part of the budget that falls in.  A document is taken while its place is below
+    the budget, so a source overshoots by less than one document; documents without tokens are taken
+    whenever their place comes.  Places come from per-bucket sums (a bucket holds about `bucket_docs`
+    documents of one source by hash range), so a source of any size is spread over many tasks.
+    Null ids and repeated rows are ordinary documents, each with picks of its own; ties in the hash go by doc_id, then text.
+    """
+    slim = docs.select(F.monotonically_increasing_id().alias("number"), F.col("doc_id"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("key"))
+    picks, w = _picked(materialise(slim, "mix-docs"), entropy, repeats, budget, block_tokens, seed, bucket_docs)
+    return picks.drop("number"), w
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents as often as they are taken, with `mix_epoch`, `mix_block` and `mix_place`; other columns stay.
+def mixed_documents(docs: DataFrame, entropy: float | None = 0.95, repeats: float | None = None, budget: int | None = None, block_tokens: int = 200_000,
+                    seed: int = 17, bucket_docs: int = 4096) -> DataFrame:
+    """The rows as often as they are taken, with `mix_epoch`, `mix_block` and `mix_place`; other columns stay (those of these three
+    names are replaced).
 
-    Rows that repeat an id, source and token count share the picks of that id.  Within a block, order by
-    a hash of doc_id and epoch to interleave the sources.
+    Every row has picks of its own, so rows that repeat each other, or have no id, together keep to the budget.  Within a block, order
+    by a hash of doc_id and epoch to interleave the sources.
     """
-    picks, _ = mix(docs, **how)
-    key = {"p_id": "doc_id", "p_source": "source", "p_n": "n_tokens"}
-    picks = picks.groupBy("doc_id", "source", "n_tokens", "epoch").agg(F.min("block").alias("mix_block"), F.min("place").alias("mix_place"))
-    picks = picks.select(*[F.col(v).alias(k) for k, v in key.items()], F.col("epoch").alias("mix_epoch"), "mix_block", "mix_place")
-    clash = [c for c in docs.columns if c in picks.columns]
-    left = docs.drop(*clash).withColumn("__n", n_tokens(F.col("text")))
-    on = left["doc_id"].eqNullSafe(picks["p_id"]) & left["source"].cast("string").eqNullSafe(picks["p_source"]) & (left["__n"] == picks["p_n"])
-    return left.join(picks.hint("merge"), on).drop("__n", *key)
+    d = _numbered(docs)
+    picks, _ = _picked(d.drop("row"), entropy, repeats, budget, block_tokens, seed, bucket_docs)
+    picks = picks.select(F.col("number").alias("picked"), F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), F.col("place").alias("mix_place"))
+    rows = d.select("row", "number").join(picks.hint("merge"), F.col("number") == F.col("picked"))
+    new = ["mix_epoch", "mix_block", "mix_place"]
+    return rows.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c not in new], *new)
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: random-projection trees, one shared queue, exact reranking.
 
-Rows are dealt by a hash of their id to shards of bounded size.  A shard builds a forest over its distinct vectors;
+Rows are dealt by a hash of their number to shards of bounded size.  A shard builds a forest over its distinct vectors;
 queries meet every shard in blocks, pop leaves of all trees from one priority queue, best margin first, and
 rank the vectors of the popped leaves exactly.  The best of all shards are merged per query.
 """
@@ -8,13 +8,16 @@ rank the vectors of the popped leaves exactly.  The best of all shards are merge
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors per shard; trees of a forest; vectors per leaf; part of a forest's leaves that a query pops.
+from ._common import materialise
+
+#: Vectors per shard; trees of a forest; vectors per leaf; part of a forest's rows (a row counts once a tree) that a query pops.
 SHARD, TREES, LEAF, POPS = 16384, 24, 64, 0.035
 #: Queries per block and searched together.
 QUERIES, TOGETHER = 65536, 256
@@ -47,68 +50,76 @@ class Forest:
                 parts = below
             self.leaves += parts
 
-    def popped(self, q: np.ndarray, part: float = POPS) -> np.ndarray:
-        """Leaves that each query pops from the queue shared by all trees.
+    def popped(self, q: np.ndarray, part: float = POPS) -> Iterator[list[int]]:
+        """Leaves that each query pops from the queue shared by all trees, until they hold `part` of all trees' rows.
 
-        A leaf's priority is the least margin on its path, so the queue's order is the order of priorities, and what
-        it pops first is a partial sort of them.
+        The queue starts with every root.  A node's priority is the least margin on its path, the side the query lies on
+        first; popping a node puts its two children in the queue.  Margins of a block come from one product a tree.
         """
-        trees, n = len(self.normals), 1 << self.depth
-        ranks = np.empty((len(q), trees * n), np.float32)
-        for t in range(trees):
-            margin = q @ self.normals[t].T - self.cuts[t]
-            best = np.full((len(q), 1), np.inf)
-            node = 0
-            for level in range(self.depth):
-                m = margin[:, node:node + (1 << level)]
-                node += 1 << level
-                best = np.stack((np.minimum(best, -m), np.minimum(best, m)), axis=2).reshape(len(q), -1)
-            ranks[:, t * n:(t + 1) * n] = best
-        k = min(trees * n, max(trees, int(np.ceil(part * trees * n))))
-        return np.argpartition(-ranks, k - 1, axis=1)[:, :k] if k < trees * n else np.tile(np.arange(trees * n), (len(q), 1))
-
-
-def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, trees: int = TREES, leaf: int = LEAF, part: float = POPS) -> pd.DataFrame:
-    """The k nearest found per query among rows with another id, by inner product, ties to the smaller id."""
+        trees, inner = len(self.normals), (1 << self.depth) - 1
+        enough = max(part * trees * sum(map(len, self.leaves[:inner + 1])), 1)
+        margins = np.stack([q @ self.normals[t].T - self.cuts[t] for t in range(trees)], axis=1).astype(np.float32)
+        for mine in margins:
+            queue = [(-np.inf, t, 0) for t in range(trees)]
+            mine, out, held = mine.tolist(), [], 0
+            while queue and held < enough:
+                bound, t, node = heappop(queue)
+                if node >= inner:
+                    leaf = t * (inner + 1) + node - inner
+                    out.append(leaf)
+                    held += len(self.leaves[leaf])
+                else:
+                    m = mine[t][node]  # children of node i are 2 i + 1 (below the cut) and 2 i + 2
+                    heappush(queue, (max(bound, m), t, 2 * node + 1))
+                    heappush(queue, (max(bound, -m), t, 2 * node + 2))
+            yield out
+
+
+#: What is found: the query's row, and for each the id (0 and missing, if null), number and score.
+FOUND = "query long, missing boolean, vec_id long, number long, score double"
+
+
+def search(rows: pd.DataFrame, asks: pd.DataFrame, k: int, trees: int = TREES, leaf: int = LEAF, part: float = POPS) -> pd.DataFrame:
+    """The k nearest found per query among rows of another number, by inner product, ties to the smaller id (null last)."""
+    x, q = (np.array(d["embedding"].tolist(), np.float64) for d in (rows, asks))
+    numbers, ids, missing, mine = rows["number"].to_numpy(), rows["vec_id"].to_numpy(), rows["missing"].to_numpy(), asks["number"].tolist()
     distinct, of = np.unique(x, axis=0, return_inverse=True)
-    order = np.lexsort((ids, of.ravel()))
-    first = np.searchsorted(of.ravel()[order], np.arange(len(distinct) + 1))
+    of = of.ravel()
+    order = np.lexsort((numbers, ids, missing, of))
+    first = np.searchsorted(of[order], np.arange(len(distinct) + 1)).tolist()
     forest = Forest(distinct, trees, leaf)
     out = []
     for lo in range(0, len(q), TOGETHER):
         block = q[lo:lo + TOGETHER]
         for i, pops in enumerate(forest.popped(block, part)):
             mask = np.zeros(len(distinct), bool)
-            mask[np.concatenate([forest.leaves[j] for j in pops.tolist()])] = True
+            mask[np.concatenate([forest.leaves[j] for j in pops])] = True
             near = np.flatnonzero(mask)
             score = distinct[near] @ block[i]
             if len(near) > k + 1:  # one may be the query itself
                 good = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
                 near, score = near[good], score[good]
-            found = [(s, int(v)) for d, s in zip(near.tolist(), score.tolist()) for v in ids[order[first[d]:min(first[d + 1], first[d] + k + 1)]] if v != qids[lo + i]]
-            found.sort(key=lambda f: (-f[0], f[1]))
-            out += [(int(qids[lo + i]), v, s) for s, v in found[:k]]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            found = [(-s, bool(missing[r]), int(ids[r]), int(numbers[r])) for d, s in zip(near.tolist(), score.tolist()) for r in order[first[d]:min(first[d + 1], first[d] + k + 1)].tolist() if numbers[r] != mine[lo + i]]
+            out += [(mine[lo + i], m, v, n, -s) for s, m, v, n in sorted(found)[:k]]
+    return pd.DataFrame(out, columns=["query", "missing", "vec_id", "number", "score"]).astype({"query": "int64", "missing": bool, "vec_id": "int64", "number": "int64", "score": "float64"})
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD, trees: int = TREES, leaf: int = LEAF, part: float = POPS) -> DataFrame:
-    """(query_id, rank, vec_id, score): up to k rows per query, nearest first.  Both inputs have vec_id and embedding.
+def usable(d: DataFrame) -> DataFrame:
+    """Rows whose vector is not null or zero and has finite components only; ids as longs."""
+    e = F.col("embedding")
+    ok = e.isNotNull() & F.forall(e, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(e, lambda x: x != 0)
+    return d.where(ok).withColumns({"vec_id": F.col("vec_id").cast("long"), "embedding": F.col("embedding").cast("array<double>")})
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id.
-    Rows that repeat an id count once, with the least vector.  Vectors meet only those of their own length.
-    """
-    def usable(d: DataFrame) -> DataFrame:
-        e = F.col("embedding")
-        ok = e.isNotNull() & F.forall(e, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(e, lambda x: x != 0)
-        return d.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL").where(ok).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
-    v, q = usable(vectors), usable(queries)
+def _nearest(v: DataFrame, q: DataFrame, k: int, shard: int, trees: int, leaf: int, part: float) -> DataFrame:
+    """v, q: number (one row's own, the same for a query and its own row), vec_id, embedding, all usable."""
     shards = max(1, -(-v.count() // shard))
     blocks = max(1, -(-q.count() // QUERIES))
-    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("number"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = v.select(F.lit(False).alias("asks"), mine(shards).alias("shard"), every(blocks).alias("qblock"), "vec_id", "embedding").union(
-        q.select(F.lit(True).alias("asks"), every(shards).alias("shard"), mine(blocks).alias("qblock"), "vec_id", "embedding"))
+    each = ["number", F.isnull("vec_id").alias("missing"), F.coalesce("vec_id", F.lit(0)).alias("vec_id"), "embedding"]
+    rows = v.select(F.lit(False).alias("asks"), mine(shards).alias("shard"), every(blocks).alias("qblock"), *each).union(
+        q.select(F.lit(True).alias("asks"), every(shards).alias("shard"), mine(blocks).alias("qblock"), *each))
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         size = pdf["embedding"].map(len)
@@ -117,15 +128,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SH
             part_of = pdf[size == n]
             asks = part_of["asks"].to_numpy()
             if asks.any() and not asks.all():
-                x, ids = np.array(part_of["embedding"].tolist(), np.float64), part_of["vec_id"].to_numpy()
-                found.append(search(ids[~asks], x[~asks], ids[asks], x[asks], k, trees, leaf, part))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                found.append(search(part_of[~asks], part_of[asks], k, trees, leaf, part))
+        return pd.concat(found) if found else pd.DataFrame({"query": [], "missing": [], "vec_id": [], "number": [], "score": []}).astype({"query": "int64", "missing": bool, "vec_id": "int64", "number": "int64", "score": "float64"})
+
+    near = rows.groupBy("shard", "qblock").applyInPandas(cell, FOUND)
+    ranked = near.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query ORDER BY score DESC, missing, vec_id, number)"))
+    return ranked.where(F.col("rank") <= k).select("query", F.col("rank").cast("int").alias("rank"), F.when(~F.col("missing"), F.col("vec_id")).alias("vec_id"), "score")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD, trees: int = TREES, leaf: int = LEAF, part: float = POPS) -> DataFrame:
+    """(query_id, rank, vec_id, score): up to k rows per query, nearest first.  Both inputs have vec_id and embedding.
 
-    near = rows.groupBy("shard", "qblock").applyInPandas(cell, "query_id long, vec_id long, score double")
-    ranked = near.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id.
+    An id stands for one vector here: rows that repeat it count once, with the least (ann_digest keeps rows apart).  Vectors meet
+    only those of their own length.
+    """
+    once = lambda d: usable(d).where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("number", F.col("vec_id"))
+    return _nearest(once(vectors), once(queries), k, shard, trees, leaf, part).withColumnRenamed("query", "query_id")
 
 
-def ann_digest(embeddings: DataFrame) -> DataFrame:
-    e = embeddings.select("vec_id", "embedding")
-    return nearest(e, e.where("vec_id % 20 = 0"))
+def ann_digest(embeddings: DataFrame, k: int = 20) -> DataFrame:
+    """Contract columns.  Rows count one by one: those that share an id ask for themselves and are each other's candidates, and rows
+    without an id are candidates (after others in a tie, vec_id null)."""
+    e = materialise(usable(embeddings.select("vec_id", "embedding")).withColumn("number", F.monotonically_increasing_id()), "vectors")
+    q = e.where("vec_id % 20 = 0")
+    found = _nearest(e, q, k, SHARD, TREES, LEAF, POPS)
+    return found.join(q.select(F.col("number").alias("query"), F.col("vec_id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")

@@ -137,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return pd.Series([features(t).tobytes() for t in texts])
 
     # broadcast: at most positives + unlabelled short rows
-    rows = d.join(F.broadcast(chosen), "doc_id").select("p", "u", of("text").alias("x")).toPandas()
+    one = d.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "p", "u").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # an id may repeat
+    rows = one.select("p", "u", of("text").alias("x")).toPandas()
     pick = lambda c: np.frombuffer(b"".join(rows.loc[rows[c] == 1, "x"]), np.float32).reshape(-1, N_FEATURES) if (rows[c] == 1).any() else np.empty((0, N_FEATURES))
     return Model(pick("p"), pick("u"), prior)
 

@@ -24,6 +24,8 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 #: Items per index; a larger benchmark is searched index by index.  Blocks of an index.
 ITEMS, BLOCKS = 20_000, 32
+#: Words of the shortest class of items; items that may be searched for at once.
+LIKE, MOST_ITEMS = 256, 1_000_000
 
 _WORD = re.compile(r"\w+")
 
@@ -118,12 +120,15 @@ class Index:
         ids = np.fromiter((get(w, none) for w in words), np.int64, len(words))
         out: dict[int, tuple[float, float]] = {}
         step = self.longest
+        last, around, have = None, [], set()
         for k, block in self.passages(ids, threshold):
             terms = set(ids[k * step:(k + 2) * step].tolist()) - {none}
             for item, score in self.wand(terms, block, threshold):
-                around = words[max(0, (k - 1) * step):(k + 3) * step]
+                if k != last:
+                    last, around = k, words[max(0, (k - 1) * step):(k + 3) * step]
+                    have = shingles(around)
                 _, wanted, answer, short = self.items[item]
-                share = float(_holds(around, short)) if short else len(wanted & shingles(around)) / len(wanted)
+                share = float(_holds(around, short)) if short else len(wanted & have) / len(wanted)
                 if share >= overlap and (not answer or _holds(around, answer)):
                     old = out.get(item, (0.0, 0.0))
                     out[item] = (max(old[0], score), max(old[1], share))
@@ -135,9 +140,11 @@ def _holds(words: list[str], run: list[str]) -> bool:
 
 
 def build(items: DataFrame, limit: int = ITEMS) -> list[Index]:
-    """Indexes over all items (item_id, text, and answer where there is one), `limit` items each.
+    """Indexes over all items (item_id, text, and answer where there is one), `limit` items each at most, of like lengths: an index's
+    passages are as long as its longest item.
 
-    Statistics are those of the whole benchmark whatever the number of indexes.  Items without words match nothing.
+    Statistics are those of the whole benchmark whatever the number of indexes.  Items without words match nothing.  All indexes are
+    held by every Python worker at once, so a benchmark of more than MOST_ITEMS is refused: it is to be searched in parts.
     """
     has_answer = "answer" in items.columns
     d = items.select("item_id", "text", *(["answer"] if has_answer else [])).where("text IS NOT NULL")
@@ -148,11 +155,15 @@ def build(items: DataFrame, limit: int = ITEMS) -> list[Index]:
 
     d = d.withColumn("words", of("text")).where(F.size("words") > 0).withColumn("turn", F.xxhash64("item_id", "text"))
     n, total = d.agg(F.count("*"), F.sum(F.size("words"))).first()
-    turns = max(1, ceil(n / limit))
+    if n > MOST_ITEMS:
+        raise ValueError(f"{n} items; search at most {MOST_ITEMS} at a time")
     out = []
+    lengths = F.greatest(F.lit(0), F.ceil(F.log2(F.size("words") / LIKE) / 2)).cast("int")  # up to LIKE words, then fourfold classes
+    d = d.withColumn("class", lengths)
+    classes = sorted((r["class"], max(1, ceil(r["count"] / limit))) for r in d.groupBy("class").count().collect()) if n else []
     frequency = d.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count()
-    for turn in range(turns if n else 0):
-        mine = d.where(F.pmod("turn", F.lit(turns)) == turn)
+    for c, turn, turns in ((c, turn, turns) for c, turns in classes for turn in range(turns)):
+        mine = d.where(F.col("class") == c).where(F.pmod("turn", F.lit(turns)) == turn)
         rows = sorted(((r["item_id"], r["words"], words_of(r["answer"]) if has_answer else []) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         mine_words = mine.select(F.explode("words").alias("word")).distinct()
         df = {r["word"]: r["count"] for r in frequency.join(mine_words, "word", "left_semi").collect()}

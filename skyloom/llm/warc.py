@@ -17,6 +17,7 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from math import ceil
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
@@ -28,6 +29,8 @@ from ._common import materialise, shared_dir
 
 #: Index lines per block; bytes at which a task starts another archive file.
 LINES, FILE_BYTES = 1000, 512 << 20
+#: Archived bytes that a task reads back.
+TASK_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -152,7 +155,7 @@ def index(captures: DataFrame, folder: str, lines: int = LINES) -> str:
     """Write the two-level index of `captures`; returns the path of its directory table.
 
     Each task writes one index file of compressed blocks for a range of keys; the directory has a row per block:
-    first and last line's key, file, offset, length, lines.
+    first and last line's key, file, offset, length, lines, and the bytes of the records they name.
     """
     where = f"{folder}/index"
 
@@ -168,11 +171,11 @@ def index(captures: DataFrame, folder: str, lines: int = LINES) -> str:
                 out = fs.open_output_stream(_open(name)[1], compression=None)
             data = zlib.compress("\n".join(json.dumps(x) for x in some).encode())
             out.write(data)
-            row = (some[0][0], some[-1][0], name, at, len(data), len(some))
+            row = (some[0][0], some[-1][0], name, at, len(data), len(some), sum(x[4] for x in some))
             at += len(data)
             return row
 
-        names = ["first", "last", "file", "offset", "length", "lines"]
+        names = ["first", "last", "file", "offset", "length", "lines", "archived"]
         for pdf in batches:
             held += zip(*(pdf[c].tolist() for c in ("key", "page_id", "file", "offset", "length")))
             rows = []
@@ -186,7 +189,7 @@ def index(captures: DataFrame, folder: str, lines: int = LINES) -> str:
             out.close()
 
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
-    made = ordered.mapInPandas(run, "first string, last string, file string, offset long, length long, lines long")
+    made = ordered.mapInPandas(run, "first string, last string, file string, offset long, length long, lines long, archived long")
     path = f"{folder}/directory"
     made.write.parquet(path)
     return path
@@ -229,6 +232,12 @@ def lookup(spark: SparkSession, directory: str, url: str) -> list[tuple[dict, di
     return list(Reader([tuple(r) for r in rows]).records(key))
 
 
+def _ranges(spark: SparkSession, directory: str) -> list[tuple[str, str, str]]:
+    """(file, first key, last key) of the directory's files; one is written per index task."""
+    rows = spark.read.parquet(directory).groupBy(F.input_file_name().alias("f")).agg(F.min("first").alias("lo"), F.max("last").alias("hi")).collect()
+    return sorted((r["f"], r["lo"], r["hi"]) for r in rows)
+
+
 def read_back(pages: DataFrame, directory: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, found by its page's URL key and id.
 
@@ -238,7 +247,9 @@ def read_back(pages: DataFrame, directory: str) -> DataFrame:
     spark = pages.sparkSession
     key = F.pandas_udf(lambda urls: urls.map(url_key), "string")
     wanted = pages.select(key(F.col("url")).alias("key"), F.coalesce(F.col("page_id").cast("long").cast("string"), F.lit("")).alias("page_id")).distinct()
-    files = spark.read.parquet(directory).inputFiles()
+    files = _ranges(spark, directory)
+    amount = spark.read.parquet(directory).agg(F.sum("archived")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(amount / TASK_BYTES))  # AQE would go by the size of the keys
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
@@ -246,7 +257,7 @@ def read_back(pages: DataFrame, directory: str) -> DataFrame:
         columns, opened = ["first", "last", "file", "offset", "length"], Files()
         for pdf in batches:
             rows = []
-            for f in files if len(pdf) else []:
+            for f in [f for f, lo, hi in files if hi >= pdf["key"].iloc[0] and lo <= pdf["key"].iloc[-1]] if len(pdf) else []:
                 fs, p = _open(f)
                 meets = [("last", ">=", pdf["key"].iloc[0]), ("first", "<=", pdf["key"].iloc[-1])]
                 rows += pq.read_table(p, filesystem=fs, columns=columns, filters=meets).to_pandas().itertuples(index=False, name=None)
@@ -262,7 +273,7 @@ def read_back(pages: DataFrame, directory: str) -> DataFrame:
                     out.append((page_id, n, digest, fields["WARC-Type"], "" if to is None else str(to)))
             yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    ordered = wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    ordered = wanted.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
     got = ordered.mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast("long")).alias(c)
     return got.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))

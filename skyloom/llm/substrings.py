@@ -1,6 +1,7 @@
 """Exact substring deduplication of word windows by super-k-mer partitioning.
 
-Each window of WINDOW words has a minimiser, the least mixed hash of its GRAM-word runs.  Consecutive windows with one minimiser
+Each window of WINDOW words has a minimiser, the least mixed hash of its GRAM-word runs; runs that are frequent in the corpus come
+after all others, so that a common phrase draws only windows made of common phrases alone.  Consecutive windows with one minimiser
 form a super-k-mer: their words travel once, as one packed string, to the bucket of the minimiser.
 Equal windows have equal minimisers, so a bucket sees all copies of its windows; there they are sorted by
 hash and compared as text.  Before they travel, equal super-k-mers of a task are reduced to the earliest.
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 WINDOW, GRAM = 20, 4
 #: Text bytes per bucket; packed bytes that a map task holds before it sends blocks; windows sorted at a time.
 BUCKET_BYTES, FLUSH_BYTES, SORT_WINDOWS = 6 << 20, 48 << 20, 2_000_000
+#: A run of words is frequent if its windows fill this part of a bucket; one document in so many is counted (by a hash of its text) to
+#: find such runs.  This sets the order of minimisers alone: windows are counted in all text, whatever the order.
+FREQUENT, ONE_IN = 0.25, 256
 _BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -77,13 +81,23 @@ def _borders(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], ends[:-1] + 1)), ends
 
 
-def super_kmers(packed: bytes, n_words: np.ndarray, window: int, gram: int) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(document, first word, windows, start byte, end byte, minimiser) of lines of single-spaced words."""
+def _grams(packed: bytes, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words and, with the top bit clear, the mixed hashes of all runs of `gram` words."""
     data = np.frombuffer(packed, np.uint8)
     starts, ends = _borders(data)
+    if len(starts) < gram:
+        return starts, ends, np.empty(0, np.uint64)
+    return starts, ends, _mixed(Slices(data).of(starts[:len(starts) - gram + 1], ends[gram - 1:])) >> np.uint64(1)
+
+
+def super_kmers(packed: bytes, n_words: np.ndarray, window: int, gram: int, frequent: np.ndarray = np.empty(0, np.uint64)) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(document, first word, windows, start byte, end byte, minimiser) of lines of single-spaced words; `frequent` is sorted."""
+    starts, ends, grams = _grams(packed, gram)
     if len(starts) < window:
         return
-    grams = _mixed(Slices(data).of(starts[:len(starts) - gram + 1], ends[gram - 1:]))
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
+        grams = np.where(late, grams | np.uint64(1 << 63), grams)
     least = _least_of(grams, window - gram + 1)
     doc = np.repeat(np.arange(len(n_words)), n_words)
     first = np.concatenate(([0], np.cumsum(n_words)[:-1]))
@@ -113,7 +127,7 @@ def _unblock(block: bytes) -> tuple[np.ndarray, bytes]:
     return head.T, raw[n * 32:]
 
 
-def _mapper(buckets: int, window: int, gram: int):
+def _mapper(buckets: int, window: int, gram: int, frequent: np.ndarray = np.empty(0, np.uint64)):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[bytes, tuple] = {}
         of: dict[bytes, int] = {}
@@ -142,7 +156,7 @@ def _mapper(buckets: int, window: int, gram: int):
                     length += len(lines[-1])
                 if lines and (length > 1 << 20 or r == len(texts)):
                     packed = b"\n".join(lines) + b"\n"
-                    for d, w, n, a, b, mini in super_kmers(packed, np.array(n_words), window, gram):
+                    for d, w, n, a, b, mini in super_kmers(packed, np.array(n_words), window, gram, frequent):
                         t, row = packed[a:b], rows[d]
                         k = (missing[row], ids[row], hashes[row], w)
                         old = held.get(t)
@@ -223,6 +237,22 @@ def repeated_windows(blocks: list[bytes], window: int) -> np.ndarray:
     return _runs(late_key, late_key[:, 3], window)
 
 
+def frequent_grams(docs: DataFrame, bucket_bytes: int, gram: int = GRAM) -> np.ndarray:
+    """Sorted hashes of the runs whose windows would fill a good part of a bucket; as many at most as the text has such parts,
+    times the runs of a window."""
+    least = max(8, int(FREQUENT * bucket_bytes / 150 / ONE_IN))  # a run brings about 150 bytes of windows each time it occurs
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lines = [b" ".join(w) for w in map(words_of, pdf["text"].tolist()) if w]
+            h, n = np.unique(_grams(b"\n".join(lines) + b"\n", gram)[2] if lines else np.empty(0, np.uint64), return_counts=True)
+            yield pd.DataFrame({"g": h.view(np.int64), "n": n.astype(np.int64)})
+
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ONE_IN)) == 0)
+    got = some.mapInPandas(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("g").collect()
+    return np.sort(np.array([r["g"] for r in got], np.int64).view(np.uint64))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(missing, doc_id, h, spans): per document with repeats, the word ranges [from, to) that are repeated.
 
@@ -231,7 +261,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
     d = docs.select(F.isnull("doc_id").cast("long").alias("missing"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(48, size // bucket_bytes)
-    sent = d.mapInPandas(_mapper(buckets, window, gram), "bucket long, block binary")
+    sent = d.mapInPandas(_mapper(buckets, window, gram, frequent_grams(docs, bucket_bytes, gram)), "bucket long, block binary")
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         blocks = pdf["block"].tolist()

@@ -126,19 +126,25 @@ def wind_uv(speed: Column, degrees: Column) -> tuple[Column, Column]:
     return -speed * F.sin(F.radians(degrees)), -speed * F.cos(F.radians(degrees))
 
 
-def parse_metres(text: Column) -> Column:
-    """First of a `;` list, comma or point decimals, m or ft."""
-    first = F.lower(F.trim(F.split(text, ";")[0]))
-    number = F.regexp_extract(F.regexp_replace(first, ",", "."), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
-    return F.when(first.rlike("ft|feet|'"), number * 0.3048).otherwise(number)
+def parse_metres(text: Column, strict: bool = False) -> Column:
+    """First of a `;` list, comma or point decimals, m or ft.  By default the first number found; `strict` drops units and words for
+    about, and whatever is then no number is missing."""
+    if not strict:
+        first = F.lower(F.trim(F.split(text, ";")[0]))
+        number = F.regexp_extract(F.regexp_replace(first, ",", "."), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
+        return F.when(first.rlike("ft|feet|'"), number * 0.3048).otherwise(number)
+    whole = F.replace(F.lower(F.trim(text)), F.lit(","), F.lit("."))
+    bare = F.trim(F.regexp_replace(whole, "approximately|approx|~|meters|metres|meter|metre|feet|ft|m", ""))
+    number = F.trim(F.split(bare, ";")[0]).try_cast("double")
+    return clean(F.when(whole.rlike("ft|feet"), number * 0.3048).otherwise(number))
 
 
 def parse_kilovolts(text: Column, strip_v_first: bool = True) -> Column:
-    """Volts above 1000 become kV.  With `strip_v_first`, "110kv" loses its v alone and is missing."""
-    t = F.lower(F.trim(F.split(text, ";")[0]))
-    t = F.regexp_replace(F.regexp_replace(t, "v", ""), "kv", "") if strip_v_first else F.regexp_replace(t, "kv|v", "")
-    n = F.trim(t).try_cast("double")
-    return F.when(n > 1000, n / 1000).otherwise(n)
+    """First of a `;` list, comma or point decimals; over 1000 means volts.  By default "v" goes before "kv" is looked for, so "110kv" is missing."""
+    low = F.replace(F.lower(text), F.lit(","), F.lit("."))
+    bare = F.regexp_replace(low, "v", "") if strip_v_first else F.regexp_replace(low, "kv|v", "")
+    number = F.trim(F.split(bare, ";")[0]).try_cast("double")
+    return F.when(number > 1000, number / 1000).otherwise(number)
 
 
 def taxonomy_height(text: Column, default: float | None = None) -> Column:

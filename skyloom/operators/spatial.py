@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import clean
 from .graph import cut
 
 
@@ -28,12 +29,19 @@ def within_pairs(points: DataFrame, radius: float, key: str = "id") -> DataFrame
     return radius_join(a, b, radius).where("a < b").select("a", "b", "dist")
 
 
+def finite(d: DataFrame) -> DataFrame:
+    """`d` with x and y null where they are NaN or infinite."""
+    return d.withColumns({c: F.when(F.abs(clean(F.col(c))) < float("inf"), F.col(c)) for c in ("x", "y")})
+
+
 def nearest(points: DataFrame, sites: DataFrame, reach: float, key: str = "id", site: str = "site") -> DataFrame:
     """The nearest site of each point (ties to the least site): key, site, dist; null and no distance if there are no sites.
 
     Rounds of radius joins with doubling reach; points that found a site within a round's reach are done.  Each
-    round's points are checkpointed, so a round does not repeat the ones before it.
+    round's points are checkpointed, so a round does not repeat the ones before it.  Coordinates that are null, NaN or infinite are nowhere:
+    such sites are no one's nearest, such points have none.
     """
+    points, sites = finite(points.select(key, "x", "y")), finite(sites.select(site, "x", "y"))
     sites = sites.select(site, F.col("x").alias("rx"), F.col("y").alias("ry")).where("rx IS NOT NULL AND ry IS NOT NULL")
     nowhere = lambda d: d.select(key, F.lit(None).cast(dict(sites.dtypes)[site]).alias(site), F.lit(None).cast("double").alias("dist"))
     placed = points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
@@ -50,12 +58,14 @@ def nearest(points: DataFrame, sites: DataFrame, reach: float, key: str = "id",
 
 def nearest_of_few(points: DataFrame, sites: DataFrame, key: str = "id", site: str = "site", limit: int = 10_000, reach: float = 1.0) -> DataFrame:
     """As `nearest`; up to `limit` sites are broadcast as one array, more go through the grid."""
+    points, sites = finite(points.select(key, "x", "y")), finite(sites.select(site, "x", "y")).where("x IS NOT NULL AND y IS NOT NULL")
     if sites.limit(limit + 1).count() > limit:
         return nearest(points, sites, reach, key, site)
     one = sites.agg(F.sort_array(F.collect_list(F.struct(F.col(site).alias("s"), "x", "y"))).alias("__sites"))
     d = lambda s: F.sqrt(F.pow(F.col("x") - s["x"], 2) + F.pow(F.col("y") - s["y"], 2))
     best = F.array_min(F.transform("__sites", lambda s: F.struct(d(s).alias("dist"), s["s"].alias("s"))))
-    return points.select(key, "x", "y").crossJoin(F.broadcast(one)).select(key, best.alias("m")).select(key, F.col("m.s").alias(site), F.col("m.dist").alias("dist"))
+    best = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), best)
+    return points.crossJoin(F.broadcast(one)).select(key, best.alias("m")).select(key, F.col("m.s").alias(site), F.col("m.dist").alias("dist"))
 
 
 def knn(points: DataFrame, k: int, radius: float, key: str = "id") -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import percentiles
+
 #: Metres per degree, as the cost-map operators use them.
 LON_M, LAT_M = 111_320.0, 110_540.0
 
@@ -72,7 +74,7 @@ def min_max(x: Column, lo: Column, hi: Column, inverted: bool = False) -> Column
 
 def robust_norm(df: DataFrame, column: str, to: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Adds `to`: `column` scaled between two exact percentiles, clipped, missing or degenerate as 0."""
-    p = df.agg(F.percentile(clean(F.col(column)), F.array(F.lit(low), F.lit(high))).alias("__p"))
+    p = percentiles(df, clean(F.col(column)), [low, high]).withColumnRenamed("q", "__p")
     lo, hi = F.col("__p")[0], F.col("__p")[1]
     scaled = F.coalesce(F.when(hi > lo, clip((clean(F.col(column)) - lo) / (hi - lo), 0.0, 1.0)), F.lit(0.0))
     return df.crossJoin(F.broadcast(p)).withColumn(to, scaled).drop("__p")  # one row

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentile
+
 
 def regular(spark: SparkSession, nx: int, ny: int, step: float = 1.0) -> DataFrame:
     """nx * ny nodes, row by row."""
@@ -72,7 +74,7 @@ def spacing(df: DataFrame, column: str) -> DataFrame:
     inner = r.withColumn("d", F.col("v") - F.lag("v").over(w)).where("d > 0").select("d")
     ends = r.groupBy("p").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     outer = ends.withColumn("d", F.col("lo") - F.lag("hi").over(Window.orderBy("lo"))).where("d > 0").select("d")  # a row per partition
-    return inner.union(outer).agg(F.percentile("d", 0.5).alias("spacing"))
+    return percentile(inner.union(outer), F.col("d"), 0.5, "spacing")
 
 
 def surface_stack(blocks: DataFrame, base: DataFrame, key: str, dz: float) -> DataFrame:

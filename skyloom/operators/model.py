@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from . import geometry, selection, spatial
+from . import geometry, quantiles, selection, spatial
 from .graph import cut
+from .quantiles import percentile, percentiles
 
 
 # --- joins
@@ -213,13 +214,13 @@ def neighbour_spacing(points: DataFrame, reach: float, key: str = "id") -> DataF
     """One row: the median distance of a point to its nearest other point (of those that have one within `reach`)."""
     b = points.select(F.col(key).alias("__b"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     near = spatial.radius_join(points.select(key, "x", "y"), b, reach).where(F.col(key) != F.col("__b")).groupBy(key).agg(F.min("dist").alias("d"))
-    return near.agg(F.percentile("d", 0.5).alias("spacing"), F.count("*").alias("n"))
+    near = cut(near)
+    return percentile(near, F.col("d"), 0.5, "spacing").crossJoin(F.broadcast(near.agg(F.count("*").alias("n"))))  # one row
 
 
 def colour_bounds(df: DataFrame, column: str, classes: int = 10, digits: int = 3) -> DataFrame:
     """One row: the ascending distinct rounded quantiles that cut a column into at most `classes` classes."""
-    at = F.array(*[F.lit(i / classes) for i in range(classes + 1)])
-    return df.agg(F.percentile(C.clean(F.col(column)), at).alias("q")).select(F.array_sort(F.array_distinct(F.transform(F.coalesce("q", F.array().cast("array<double>")), lambda v: F.round(v, digits)))).alias("bounds"))
+    return percentiles(df, C.clean(F.col(column)), [i / classes for i in range(classes + 1)]).select(F.array_sort(F.array_distinct(F.transform(F.coalesce("q", F.array().cast("array<double>")), lambda v: F.round(v, digits)))).alias("bounds"))
 
 
 def path_metrics(path: DataFrame, route: str, order: list[str], cost: Column) -> DataFrame:
@@ -310,7 +311,7 @@ def candidate_pool(nodes: DataFrame, least_hits: int = 2, least_degree: int = 2,
     (cluster below 0) the most hit from a percentile up."""
     fit = excluded(nodes.where((F.col("hits") >= least_hits) & (F.col("degree") >= least_degree)), list(prefixes))
     noise = fit.where("cluster < 0")
-    bar = noise.agg(F.percentile("hits", percentile).alias("__bar"))
+    bar = quantiles.percentile(noise, F.col("hits"), percentile, "__bar")
     top = noise.crossJoin(F.broadcast(bar)).where("hits >= __bar").drop("__bar").orderBy(F.col("hits").desc(), F.col("degree").desc(), F.col("pairs").desc(), "id").limit(most_noise)  # one row
     pool = fit.where("cluster >= 0").unionByName(top).withColumn("in_cluster", F.col("cluster") >= 0)
     return selection.candidate_score(pool, {"hits": 0.60, "degree": 0.20, "pairs": 0.15}, "in_cluster", 0.05).drop("in_cluster")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import percentile
 from .spatial import point_segment_distance
 
 
@@ -36,7 +37,8 @@ def edge_costs(edges: DataFrame, weights: dict[str, float], clear_m: float = 600
 
     Distance and density count over their 95th percentiles (1 at least); dense, supported and transfer edges are cheaper.
     """
-    p = edges.agg(*[F.greatest(F.percentile(c, 0.95), F.lit(1.0)).alias(f"__{c}") for c in ("distance_m", "density")])
+    top = [percentile(edges, F.col(c), 0.95, f"__{c}") for c in ("distance_m", "density")]
+    p = top[0].crossJoin(F.broadcast(top[1])).select(*[F.greatest(F.col(c), F.lit(1.0)).alias(c) for c in ("__distance_m", "__density")])  # one row
     flag = lambda c: F.col(c).cast("int").cast("double")
     w = lambda name: F.lit(float(weights.get(name, 0.0)))
     risk = 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("clearance_m") / max(clear_m, 1.0)))

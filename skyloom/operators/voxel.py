@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import percentile
 from .spatial import overlap_join
 
 
@@ -47,7 +48,7 @@ def filled(df: DataFrame, sources: list[str], to: str, constant: float = 0.0) ->
     first = F.coalesce(*map(F.col, sources))
     name = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in sources])
     d = df.withColumn("__f", first)
-    d = d.crossJoin(F.broadcast(d.agg(F.percentile("__f", 0.5).alias("__m"))))  # one row
+    d = d.crossJoin(F.broadcast(percentile(d, F.col("__f"), 0.5, "__m")))  # one row
     kind = F.coalesce(name, F.when(F.col("__m").isNotNull(), F.lit("median")), F.lit("constant"))
     return d.withColumns({to: F.coalesce("__f", "__m", F.lit(constant)), f"{to}_source": kind}).drop("__f", "__m")
 

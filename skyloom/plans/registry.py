@@ -462,4 +462,4 @@ def coarse_blocks(spark, sf_dir):
     return l.groupBy(block("l_partkey").alias("bx"), block("l_suppkey").alias("by")).agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("n_burned"))
 
 
-from . import layers, models  # noqa: E402,F401  (register their queries)
+from . import lanes, layers, models  # noqa: E402,F401  (register their queries)

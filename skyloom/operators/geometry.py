@@ -149,16 +149,17 @@ def coverage(cells: DataFrame, stations: DataFrame, key: str = "id") -> DataFram
     """(key, support): the best weight * exp(-dist / reach) of stations (x, y, weight, reach) that reach a cell, else 0.
 
     A station meets cells in squares of its own size class (the next power of two), so wide and narrow ones need no common square.
+    Of stations of one place and reach the heaviest stands for all, and all cells of a place share its support.
     """
-    s = stations.where("reach > 0").select(F.col("x").alias("rx"), F.col("y").alias("ry"), "weight", "reach", F.ceil(F.log2("reach")).cast("int").alias("__c"))
+    s = stations.where("reach > 0").groupBy("x", "y", "reach").agg(F.max("weight").alias("weight")).select(F.col("x").alias("rx"), F.col("y").alias("ry"), "weight", "reach", F.ceil(F.log2("reach")).cast("int").alias("__c"))
     classes = s.agg(F.collect_set("__c").alias("classes")).first()["classes"]  # one per power of two
     side = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), F.col("__c"))).cast("long")
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     r = s.withColumn("__o", F.explode(around)).withColumns({"__x": side("rx") + F.col("__o.i"), "__y": side("ry") + F.col("__o.j")}).drop("__o")
-    c = cells.select(key, "x", "y").withColumn("__c", F.explode(F.array(*map(F.lit, classes)).cast("array<int>"))).withColumns({"__x": side("x"), "__y": side("y")})
+    c = cells.select("x", "y").distinct().withColumn("__c", F.explode(F.array(*map(F.lit, classes)).cast("array<int>"))).withColumns({"__x": side("x"), "__y": side("y")})
     d = F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))
-    best = c.join(r, ["__c", "__x", "__y"]).withColumn("d", d).where("d <= reach").groupBy(key).agg(F.max(F.col("weight") * F.exp(-F.col("d") / F.col("reach"))).alias("support"))
-    return cells.select(key).join(best, key, "left").select(key, F.coalesce("support", F.lit(0.0)).alias("support"))
+    best = c.join(r, ["__c", "__x", "__y"]).withColumn("d", d).where("d <= reach").groupBy("x", "y").agg(F.max(F.col("weight") * F.exp(-F.col("d") / F.col("reach"))).alias("support"))
+    return cells.select(key, "x", "y").join(best, ["x", "y"], "left").select(key, F.coalesce("support", F.lit(0.0)).alias("support"))
 
 
 def box(x0: float, y0: float, x1: float, y1: float) -> list[tuple[float, float]]:

@@ -29,3 +29,11 @@ def test_buffer_around_copies(spark):
     s = spark.range(50_000).select(ring.alias("ring"))
     got = model.in_buffer(p, s, 8.0).groupBy(F.col("id") % 4).count().collect()
     assert {tuple(r) for r in got} == {(0, 50_000), (1, 50_000)}
+
+
+def test_coverage_of_copies(spark):
+    """Ten billion pairs of a cell and a station; the heaviest of equal stations counts, null weights do not."""
+    c = spark.range(200_000).selectExpr("id", "CAST(id % 3 AS double) * 30 AS x", "0D AS y").union(spark.sql("SELECT -1L, NULL, 0D"))
+    s = spark.range(50_000).selectExpr("0D AS x", "0D AS y", "IF(id % 2 = 0, (id % 5) / 10D, NULL) AS weight", "IF(id % 3 = 0, 40D, 20D) AS reach")
+    got = {(r.x, round(r.s, 9), r.n) for r in geometry.coverage(c, s).join(c, "id").groupBy("x").agg(F.max("support").alias("s"), F.count_distinct("support").alias("n")).collect()}
+    assert got == {(0.0, 0.4, 1), (30.0, round(0.4 * math.exp(-30 / 40), 9), 1), (60.0, 0.0, 1), (None, 0.0, 1)}

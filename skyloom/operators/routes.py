@@ -67,15 +67,26 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def three_digits(part: Column, whole: Column) -> Column:
+    """part / whole (whole numbers, 0 <= part <= whole) to three digits as C's printf has it: by the value of the double, of two equally near the even one.
+
+    Java rounds the shortest decimals that give the double, and halves up; the two differ only in halves of a thousandth, which are listed.
+    """
+    halves = F.array(*[F.lit("%.3f" % (k / 2000)) for k in range(1, 2000, 2)])
+    n = 2000 * part
+    half = (n % whole == 0) & (n / whole % 2 == 1)
+    return F.when(half, F.get(halves, ((n / whole - 1) / 2).cast("int"))).otherwise(F.format_string("%.3f", part / whole))
+
+
 def cluster_sequence(df: DataFrame, route: str, seq: str, cluster: str) -> DataFrame:
-    """Per route the clusters it meets, ordered by their median place (cut to a whole number) and number: n_nodes, n_clusters, cluster_sequence, coverage_sequence.
+    """Per route the clusters it meets, ordered by their median place (cut to a whole number, missing ones last) and number: n_nodes, n_clusters, cluster_sequence, coverage_sequence.
 
     Nodes without a cluster (null or negative) count only as nodes; coverage is a cluster's share of the route's nodes, to three digits.
     """
     total = df.groupBy(route).agg(F.count("*").alias("n_nodes"))
     per = df.where(F.col(cluster) >= 0).groupBy(route, F.col(cluster).alias("__c")).agg(F.floor(F.percentile(seq, 0.5)).alias("__m"), F.count("*").alias("__k"))
-    share = F.concat(F.col("__c").cast("string"), F.lit(":"), F.format_string("%.3f", F.col("__k") / F.col("n_nodes")))
-    one = per.join(total, route).groupBy(route).agg(F.sort_array(F.collect_list(F.struct("__m", "__c", share.alias("__s")))).alias("__l"))
+    share = F.concat(F.col("__c").cast("string"), F.lit(":"), three_digits(F.col("__k"), F.col("n_nodes")))
+    one = per.join(total, route).groupBy(route).agg(F.sort_array(F.collect_list(F.struct(F.isnull("__m"), "__m", "__c", share.alias("__s")))).alias("__l"))
     text = lambda f: F.coalesce(F.array_join(F.transform("__l", f), ";"), F.lit(""))
     return total.join(one, route, "left").select(route, "n_nodes", F.greatest(F.coalesce(F.size("__l"), F.lit(0)), F.lit(0)).alias("n_clusters"),
                                                  text(lambda s: s["__c"].cast("string")).alias("cluster_sequence"), text(lambda s: s["__s"]).alias("coverage_sequence"))

@@ -43,3 +43,15 @@ def test_pair_names_of_long_numbers(spark, tmp_path):
     s = spark.createDataFrame([(7, 1), (86, 1), (999, 1), (1000, 1), (12345, 1), (5, 2)], "s_suppkey long, s_nationkey int")
     want = _against_sql(spark, tmp_path, "od_pairs", supplier=s)
     assert "DB007_DB123" in {r[2] for r in want}
+
+
+def test_shares_of_three_digits(spark):
+    d = spark.createDataFrame([(k, n) for n in [*range(1, 90), 400, 2000] for k in range(n + 1)], "k long, n long")
+    got = d.select("k", "n", routes.three_digits(F.col("k"), F.col("n")).alias("t")).collect()
+    assert all(r.t == "%.3f" % (r.k / r.n) for r in got)
+
+
+def test_cluster_shares_against_sql(spark, tmp_path):
+    rows = [(1, i % 3, 1 + (i > 0)) for i in range(16)] + [(2, i, 1 + (i > 2)) for i in range(80)] + [(3, None, 1), (3, 4, 2), (4, 1, 4)]
+    want = _against_sql(spark, tmp_path, "route_clusters", lineitem=spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long"))
+    assert {"1:0.062;2:0.938", "1:0.037;2:0.963", "2:0.500;1:0.500"} == {r[-1] for r in want if r[-1]}

@@ -110,20 +110,33 @@ def shifted(candidates: DataFrame, nodes: DataFrame, clear: float = 150.0, reach
     `nodes`: id, x, y, hits, eligible, clearance (metres to the nearest no-fly node; infinite if there is none).  A candidate
     nearer than `clear` moves to the eligible node within `reach` with the best sum of clearance, hits and (negative) distance, each
     times its weight, ties to the smaller id.  It must have a clearance of `clear` (or only a better one), keep hits, and be `apart` from
-    all other candidates, moved or not.  The join is distributed; the choice is sequential, so the alternatives stream sorted through one
-    task, which holds those of one candidate and the places of all candidates, `most` at most (more raise an error).
+    all other candidates, moved or not.  The joins are distributed, and so is most of the choice: nodes too near a candidate that stays, or
+    one that comes later and is where it was, fall out before they meet candidates.  What is left hangs on the moves before, so it streams
+    sorted through one task, which holds the alternatives of one candidate and the places of those that may move, `most` at most (more raise an error).
     """
     at = cut(candidates.select("place", "id").join(nodes.select("id", "x", "y", "hits", "clearance"), "id"))
-    spots = [tuple(r) for r in at.select("place", "id", "x", "y").orderBy("place", "id").limit(most + 1).collect()]
-    if len(spots) > most:
+    total = at.limit(most + 1).count()
+    if total > most:
         raise ValueError(f"more than {most} candidates")
     close = at.where(F.col("clearance") < clear).select("place", F.col("id").alias("c"), "x", "y", F.col("hits").alias("h0"), F.col("clearance").alias("clearance0"))
     fit = nodes.where("eligible").select(F.col("id").alias("to"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("hits").alias("h"), F.col("clearance").alias("cl"))
     good = F.col("cl") >= clear if must_clear else F.col("cl") > F.col("clearance0")
     met = spatial.radius_join(close, fit, reach).where("to <> c").withColumn("good", good)
-    any_ = met.groupBy("place", "c").agg(F.max("good").alias("good"))
-    none = F.when(F.col("good").isNull(), "none in reach").when(~F.col("good"), "none clear enough")
-    kept = at.withColumnRenamed("id", "c").join(any_, ["place", "c"], "left").select(
+    any_ = cut(met.groupBy("place", "c").agg(F.max("good").alias("good")))
+    free = met.where("good")
+    if apart > 0 and total > 1:
+        moves = any_.select("place", F.col("c").alias("id"), F.col("good").alias("moves"))
+        around = at.join(moves, ["place", "id"], "left").select(F.struct("place", "id").alias("who"), F.coalesce("moves", F.lit(False)).alias("moves"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+        held = spatial.radius_join(fit, around, apart * (1 + 1e-9), "rx", "ry", "ox", "oy").where(F.hypot(F.col("rx") - F.col("ox"), F.col("ry") - F.col("oy")) < apart)
+        held = held.groupBy("to", "rx", "ry").agg(F.min("moves").alias("moves"), F.max("who").alias("last"))
+        clear_of = fit.join(held, ["to", "rx", "ry"], "left").where("moves IS NULL OR moves").drop("moves")
+        free = spatial.radius_join(close, clear_of, reach).where("to <> c").where(good).where(F.col("last").isNull() | (F.col("last") <= F.struct("place", F.col("c").alias("id")))).drop("last")
+    free = cut(free)
+    movers = free.select("place", F.col("c").alias("id")).distinct()
+    spots = [tuple(r) for r in at.join(movers, ["place", "id"]).select("place", "id", "x", "y").orderBy("place", "id").collect()]
+    fixed = movers.select("place", F.col("id").alias("c"), F.lit(True).alias("streams"))
+    none = F.when(F.col("good").isNull(), "none in reach").when(~F.col("good"), "none clear enough").when(F.col("streams").isNull(), "too near others")
+    kept = at.withColumnRenamed("id", "c").join(any_, ["place", "c"], "left").join(fixed, ["place", "c"], "left").select(
         "place", F.col("c").alias("id"), F.col("c").alias("to"), F.lit(0.0).alias("distance"), F.col("clearance").alias("clearance_before"), "clearance", F.lit(0).cast("long").alias("n_alternatives"),
         F.lit(None).cast("double").alias("score"), F.when(F.col("clearance") >= clear, "clear").otherwise(none).alias("reason"))
     names = kept.columns
@@ -138,9 +151,10 @@ def shifted(candidates: DataFrame, nodes: DataFrame, clear: float = 150.0, reach
             me = index[r["place"], r["c"]]
             stay = (r["place"], r["c"], r["c"], 0.0, r["clearance0"], r["clearance0"], 0, None)
             x, y = g["rx"].to_numpy(), g["ry"].to_numpy()
-            if apart > 0 and len(xy) > 1:
-                others = np.delete(xy, me, axis=0)
-                g = g[[np.hypot(others[:, 0] - a, others[:, 1] - b).min() >= apart for a, b in zip(x, y)]]
+            if apart > 0 and me:  # candidates that come later have been looked at
+                others = xy[:me]
+                others = others[(others[:, 0] > x.min() - apart) & (others[:, 0] < x.max() + apart) & (others[:, 1] > y.min() - apart) & (others[:, 1] < y.max() + apart)]
+                g = g[[not len(others) or np.hypot(others[:, 0] - a, others[:, 1] - b).min() >= apart for a, b in zip(x, y)]]
                 if not len(g):
                     return (*stay, "too near others")
             g = g[g["h"] >= r["h0"] * (1.0 - loss)]
@@ -168,5 +182,5 @@ def shifted(candidates: DataFrame, nodes: DataFrame, clear: float = 150.0, reach
         if held is not None:
             yield of(held)
 
-    stream = met.where("good").coalesce(1).sortWithinPartitions("place", "c", "to")
+    stream = free.coalesce(1).sortWithinPartitions("place", "c", "to")
     return kept.where("reason IS NOT NULL").unionByName(stream.mapInPandas(move, kept.schema))

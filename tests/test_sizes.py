@@ -72,3 +72,13 @@ def test_clearance_from_copies(spark):
     assert len(got) == 2_500 and all(math.isclose(v, math.hypot(min(k / 100, 50 - k / 100), 5.0)) for k, v in got.items())
     at = spatial.nearest(spark.sql("SELECT 1L AS id, 25D AS x, 0D AS y"), b.selectExpr("id + 7 AS site", "x", "y"), 100.0).collect()
     assert [(r.site, r.dist) for r in at] == [(7, 25.0)]
+
+
+def test_shift_in_a_crowd(spark):
+    """Forty million alternatives, all but those of a few candidates too near others."""
+    n = spark.range(20_000).selectExpr("id", "CAST(id % 200 AS double) AS x", "CAST(id DIV 200 AS double) AS y", "1L AS hits", "true AS eligible", "IF(id % 10 = 0, 0D, 100D) AS clearance")
+    n = n.union(spark.sql("SELECT 20000L, 260D, 50D, 1L, true, 100D"))
+    c = n.where("id % 10 = 0 AND id < 20000").selectExpr("id * 7919 % 20011 AS place", "id")
+    got = lanes.shifted(c, n, clear=50.0, reach=400.0, apart=15.0).groupBy("reason").agg(F.count("*").alias("n"), F.min("to").alias("to"), F.min("id").alias("id")).collect()
+    assert {(r.reason, r.n) for r in got} == {("shifted", 1), ("too near others", 1_999)}
+    assert [(r.to, r.id) for r in got if r.reason == "shifted"] == [(20_000, 0)]

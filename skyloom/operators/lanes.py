@@ -133,7 +133,8 @@ def shifted(candidates: DataFrame, nodes: DataFrame, clear: float = 150.0, reach
         free = spatial.radius_join(close, clear_of, reach).where("to <> c").where(good).where(F.col("last").isNull() | (F.col("last") <= F.struct("place", F.col("c").alias("id")))).drop("last")
     free = cut(free)
     movers = free.select("place", F.col("c").alias("id")).distinct()
-    spots = [tuple(r) for r in at.join(movers, ["place", "id"]).select("place", "id", "x", "y").orderBy("place", "id").collect()]
+    may = any_.where("good").select("place", F.col("c").alias("id"))  # those without a free node too: they stand in the way of later ones
+    spots = [tuple(r) for r in at.join(may, ["place", "id"]).select("place", "id", "x", "y").orderBy("place", "id").collect()]
     fixed = movers.select("place", F.col("id").alias("c"), F.lit(True).alias("streams"))
     none = F.when(F.col("good").isNull(), "none in reach").when(~F.col("good"), "none clear enough").when(F.col("streams").isNull(), "too near others")
     kept = at.withColumnRenamed("id", "c").join(any_, ["place", "c"], "left").join(fixed, ["place", "c"], "left").select(
